@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import bpe, language_id, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op4_sharding": sharding.op4_sharding,
+        "op5_url_filter": url_filter.op5_url_filter,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op9_language_id": language_id.op9_language_id,
     }
 
 
