@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, quality_rules, sharding, url_filter
+from . import bpe, chat_format, decontaminate, language_id, quality_rules, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_chat_format": chat_format.op7_chat_format,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_language_id": language_id.op9_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_format": chat_format.SQL, "op8_decontaminate": decontaminate.SQL}
