@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, jaccard_join, language_id, quality_rules, sharding, suffix_dedup, url_filter
+from . import bpe, chat_format, decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_sharding": sharding.op4_sharding,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_quality_rules": quality_rules.op6_quality_rules,
