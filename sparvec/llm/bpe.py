@@ -22,6 +22,7 @@ import hashlib
 import re
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -168,7 +169,6 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
     """All columns of docs, with ``ids`` added (or replaced)."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
@@ -183,7 +183,6 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """All columns of tokens, with ``decoded`` (the bytes of the ids) added; null ids count as none."""
-    import pandas as pd
     from pyspark.sql import functions as F
 
     known, pattern = default_vocabulary()

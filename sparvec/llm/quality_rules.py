@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -137,9 +138,7 @@ def clean(docs: DataFrame) -> DataFrame:
     kind = StructType([StructField("text", StringType()), StructField("kept", BooleanType())])
 
     @F.pandas_udf(kind)
-    def both(texts):
-        import pandas as pd
-
+    def both(texts: pd.Series) -> pd.DataFrame:
         got = [(cleaned(t or "")[0], judged(t or "")[6]) for t in texts]
         return pd.DataFrame(got, columns=["text", "kept"])
 
