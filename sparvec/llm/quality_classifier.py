@@ -43,9 +43,9 @@ STEPS = 150
 KEEP = 0.5
 SOURCES = 64
 
-#: Terms in fewer learning rows, or with a smaller chi-square, are left out.
-MIN_ROWS = 8
-MIN_CHI = 30.0
+#: Terms in fewer learning rows are left out, and those whose chi-square is below a quarter of the rows, within these limits.
+MIN_ROWS = 5
+MIN_CHI, MAX_CHI = 10.0, 30.0
 PREFIXES = (3, 4, 5)
 
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’…"})
@@ -84,6 +84,8 @@ def metadata(text: str, source: str | None, lang: str | None) -> np.ndarray:
 def content(texts: list[str], index: dict[str, int]) -> np.ndarray:
     """The content view: which words of the vocabulary a text has."""
     m = np.zeros((len(texts), len(index)), np.float32)
+    if not index:
+        return m
     keys = index.keys()
     for i, t in enumerate(texts):
         m[i, [index[w] for w in terms_of(t) & keys]] = 1
@@ -182,21 +184,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return F.when(F.col(b) * max(1, na) > F.col(a) * max(1, nb), x).otherwise(F.lit(0.0))
 
     best = F.greatest(*[chi("n1", good, f"n{k}", kinds.get(k, 0)) for k in (2, 3)])
-    top = counts.filter(F.col("n1") + F.col("n2") + F.col("n3") >= MIN_ROWS).select("w", best.alias("x")).filter(F.col("x") >= MIN_CHI).orderBy(F.desc("x"), "w").limit(VOCABULARY).collect() if n else []
+    top = counts.filter(F.col("n1") + F.col("n2") + F.col("n3") >= MIN_ROWS).select("w", best.alias("x")).filter(F.col("x") >= min(MAX_CHI, max(MIN_CHI, n / 4))).orderBy(F.desc("x"), "w").limit(VOCABULARY).collect() if n else []
     index = {r["w"]: i for i, r in enumerate(sorted(top, key=lambda r: r["w"]))}
 
     def features(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            bits = np.packbits(content(texts, index).astype(bool), axis=1) if index else np.zeros((len(texts), 0), np.uint8)
+            bits = np.packbits(content(texts, index).astype(bool), axis=1)
             meta = [metadata(*x).tobytes() for x in zip(texts, b.column("source").to_pylist(), b.column("lang").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "kind", "bits", "meta"])
 
     rows = arrow_step(sample.select("doc_id", "kind", "text", "source", "lang"), features, "doc_id long, kind int, bits binary, meta binary").collect()
-    if not rows or not index:
+    if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
-    x_text = np.stack([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), count=len(index)) for r in rows]).astype(np.float32)
+    x_text = np.stack([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))[: len(index)] for r in rows]).astype(np.float32)
     x_meta = np.stack([np.frombuffer(bytes(r["meta"]), np.float32) for r in rows])
     y = np.array([{-1: -1, 1: 1}.get(r["kind"], 0) for r in rows])
     held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 100 < HELD_OUT for r in rows])
