@@ -2,11 +2,14 @@
 
 Documents are sets of hashed word shingles; two link when their Jaccard similarity is at least ``percent``. Sizes are cut into
 bands such that two linked sets lie in the same band or in neighbouring ones; a set is indexed in its own band and, as the larger
-partner, in the one below. In a band linked sets differ in at most H shingles, so when shingles are hashed to H + 1
-segments, some segment holds the same subset in both: its hash is a signature. Or H // 2 + 1 segments, of which one differs in
-at most one shingle: each subset and its one-deletion neighbourhood are signatures. ``plan`` takes what costs less, counting
-signatures and the chance of meetings without a cause. A segment that is empty in a set would meet at all such sets; it is
-skipped (it costs too much) and what it lacks is made up for by the one-deletion neighbourhoods of the set's other segments.
+partner, in the one below. In a band linked sets differ in at most H shingles, so when shingles are hashed to more than H
+segments, some segment holds the same subset in both: its hash is a signature. Or, with H // 2 + 1 segments, one differs in
+at most one shingle: each subset and its one-deletion neighbourhood are signatures. ``plan`` allocates by cost: segments with few
+shingles would meet at sets that have nothing else in common, so they are skipped, and spare segments make up for them; where that costs
+more than deletions, as for small sets, deletions are indexed.
+
+Shingles of very many documents (common lines) would be met everywhere, so they are counted first and left out of the universe: two sets without
+them differ in no more shingles than before, so every link is still found.
 
 1. Sets are made in one pass over the texts. Equal sets are one class; a task indexes only the first set of a class that it meets.
 2. Signatures meet in a shuffle; every set that shares one is tied to the first of its bucket, streaming, so a bucket of any size needs no
@@ -17,7 +20,8 @@ skipped (it costs too much) and what it lacks is made up for by the one-deletion
 4. The components of these stars and of the classes are the result.
 
 Shingles are compared as 64-bit hashes. Defined results: null and empty texts have no words, an empty set, and link with nothing; a text
-with fewer words than a shingle is one shingle; repeated rows are one class; ties don't arise, as links are undirected; extra
+with fewer words than a shingle is one shingle; repeated rows are one class; rows without an id link with nothing and get no component;
+where one id names several texts, its row counts as linked when the text that is compared is; ties don't arise, as links are undirected; extra
 columns are ignored (``deduplicated`` keeps them); an empty table gives an empty result. Whole texts of any length are used.
 """
 
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +49,10 @@ BLOCK_TOKENS = BLOCK * 512
 #: Cells of an incidence matrix that are counted at a time.
 CELLS = 1 << 22
 MEMO_WORDS = 500_000
-#: What a meeting without a cause costs, in signatures, for each set of a band.
-MEETING = 200.0
+#: Shingles that more of the documents hold than this (in percent) are left out of the universe that is partitioned; and the error of that count.
+COMMON, ERROR = 1.0, 0.5
+#: Signatures that a plan may spend, as a multiple of the fewest.
+MOST_EXTRA = 1.6
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -100,66 +107,102 @@ def bands(size: int, percent: int) -> tuple[int, int]:
     return number, top
 
 
-def plan(top: int, percent: int) -> tuple[int, bool]:
-    """Number of segments of a band, and whether one-deletion neighbourhoods are indexed in all of them."""
-    h = most_differing(top, percent)
-    plain, deleting = h + 1, h // 2 + 1
-    empty = lambda m: m * math.exp(-top / m) if m > 1 else 0.0
-    cost = plain * (1 + MEETING * empty(plain) / max(1, plain))
-    with_deletions = (deleting + top) * (1 + MEETING * empty(deleting) / max(1, deleting + top))
-    return (plain, False) if cost <= with_deletions else (deleting, True)
-
-
-def in_band(tokens: np.ndarray, band: int, segments: int, deleting: bool) -> np.ndarray:
-    m = np.uint64(segments)
+class Plan(NamedTuple):
+    """How a band is indexed: segments; spare ones beyond H + 1; the least shingles of a segment that is indexed; or deletions."""
+
+    segments: int
+    spare: int
+    least: int
+    deleting: bool
+
+
+def weak_share(mean: float, least: int) -> float:
+    """The share of segments with fewer than ``least`` shingles when they have ``mean`` on average."""
+    term = total = math.exp(-mean)
+    for k in range(1, least):
+        term *= mean / k
+        total += term
+    return total
+
+
+def plan(top: int, percent: int) -> Plan:
+    """The cheapest allocation of a band whose smaller sets have at most ``top`` shingles.
+
+    Segments with few shingles are costly, as they meet where nothing is alike; they are left out, and as many spare segments make up for
+    them. The plan asks for as many shingles in a segment as it can while the signatures stay below MOST_EXTRA times the fewest; where sets are so small
+    that this doesn't work, or that deleting shingles costs less, one-deletion neighbourhoods are indexed.
+    """
+    h, low = most_differing(top, percent), max(1, top * percent // 100)
+    deleting = Plan(h // 2 + 1, 0, 0, True)
+    for least in (5, 4, 3, 2, 1):
+        spare = 0
+        while (h + 1 + spare) <= MOST_EXTRA * (h + 1) + 2:
+            m = h + 1 + spare
+            weak = m * weak_share(low / m, least)
+            if weak + 2 * math.sqrt(weak) <= spare:
+                return Plan(m, spare, least, False) if m <= deleting.segments + top else deleting
+            spare += 1
+    return deleting
+
+
+def in_band(tokens: np.ndarray, band: int, how: Plan) -> np.ndarray:
+    """The signatures of a set in a band.
+
+    Linked sets agree in spare + 1 segments at least. If no segment that they share is indexed for its shingles, all of these are weak in both, so
+    both have more weak segments than spare ones; such a set indexes its weak segments too, and the empty ones where
+    they alone are more than the spare ones. With deletions, linked sets differ in one shingle at most in some segment, perhaps an empty one.
+    """
+    m = np.uint64(how.segments)
     where = ((tokens >> np.uint64(32)) * m) >> np.uint64(32)
     values = mixed(tokens * _A + np.uint64(band))
     order = np.argsort(where, kind="stable")
     where, values = where[order], values[order]
     start = np.flatnonzero(np.diff(where.astype(np.int64), prepend=-1))
-    sums, ids = np.add.reduceat(values, start), where[start]
+    if not len(start):
+        start = np.zeros(0, np.int64)
+    sums, ids, counts = np.add.reduceat(values, start) if len(start) else values, where[start], np.diff(np.append(start, len(where)))
     tag = lambda i, s: mixed(mixed(s + i * _B) + np.uint64(band) * _C)
+    empty = lambda: tag(np.setdiff1d(np.arange(how.segments, dtype=np.uint64), ids), np.uint64(0))
+    if how.deleting:
+        return np.concatenate([tag(ids, sums), tag(where, np.repeat(sums, counts) - values), empty()])
+    strong = counts >= how.least
+    if how.segments - strong.sum() <= how.spare:
+        return tag(ids[strong], sums[strong])
     own = tag(ids, sums)
-    if deleting:
-        return np.concatenate([own, tag(where, np.repeat(sums, np.diff(np.append(start, len(where)))) - values)])
-    if len(ids) == segments:
-        return own
-    # empty segments: skipped, the others' neighbourhoods stand in
-    less = np.repeat(sums, np.diff(np.append(start, len(where)))) - values
-    out = [own]
-    for i in np.setdiff1d(np.arange(segments, dtype=np.uint64), ids):
-        apart = (i + np.uint64(1)) * _D
-        out += [tag(ids, sums + apart), tag(where, less + apart)]
-    return np.concatenate(out)
+    return np.concatenate([own, empty()]) if how.segments - len(ids) > how.spare else own
 
 
 class Index:
     def __init__(self, percent: int) -> None:
         self.percent = percent
-        self.plans: dict[int, list[tuple[int, int, bool]]] = {}
+        self.plans: dict[int, list[tuple[int, Plan]]] = {}
 
-    def of(self, size: int) -> list[tuple[int, int, bool]]:
-        """(band, segments, deleting) in which a set of this size is indexed."""
+    def of(self, size: int) -> list[tuple[int, Plan]]:
+        """(band, plan) in which a set of this size is indexed."""
         got = self.plans.get(size)
         if got is None:
             number, top = bands(size, self.percent)
             got = []
             if most_differing(top, self.percent):
-                got.append((number, *plan(top, self.percent)))
+                got.append((number, plan(top, self.percent)))
             if number:
                 t, k = 1, 0
                 while k < number - 1:
                     t, k = max(t + 1, t * 100 // self.percent), k + 1
                 if most_differing(t, self.percent):
-                    got.append((number - 1, *plan(t, self.percent)))
+                    got.append((number - 1, plan(t, self.percent)))
             if len(self.plans) < 100_000:
                 self.plans[size] = got
         return got
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+    def signatures(self, tokens: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Signatures of a set; common: shingles that are left out of the universe."""
+        if not len(plans := self.of(len(tokens))):
+            return np.zeros(0, np.uint64)
+        if common is not None and len(common):
+            tokens = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
         with np.errstate(over="ignore"):
-            parts = [in_band(tokens, *p) for p in self.of(len(tokens))]
-        return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+            return np.unique(np.concatenate([in_band(tokens, *p) for p in plans]))
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -217,9 +260,38 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return arrow_step(docs.select("doc_id", "text"), run, SETS)
 
 
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """The shingles that at least COMMON percent of all documents hold, give or take ERROR percent, sorted.
+
+    Lossy counting: every task counts all its documents, batch by batch, and drops what has stayed rare; so its memory is bounded, and so is the
+    result (there are at most 100 / COMMON such shingles for each shingle of an average document).
+    """
+
+    def count(batches):
+        shingler, held, n = Shingler(width), {}, 0
+        for b in batches:
+            sets = [shingler.shingles(t) for t in texts_of(b)]
+            n += len(sets)
+            if not sets:
+                continue
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            few = int(len(sets) * ERROR // 100)
+            for v, c in zip(values[counts > few].tolist(), counts[counts > few].tolist()):
+                held[v] = held.get(v, 0) + c
+            held = {v: c for v, c in held.items() if c * 100 > ERROR * n}
+        yield pa.RecordBatch.from_arrays([pa.array([*held, 0], pa.uint64()).cast(pa.int64(), safe=False), pa.array([*held.values(), 0], pa.int64()), pa.array([0] * len(held) + [n], pa.int64())], ["x", "c", "n"])
+
+    per = written(arrow_step(docs.select("text"), count, "x long, c long, n long"), "join-common")
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = per.filter("c > 0").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") * 100 >= total * COMMON).collect()
+    return np.sort(np.array([r["x"] for r in rows], np.int64).astype(np.uint64))
+
+
 def ties(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): every set that shares a signature with others, tied to the first one of that bucket."""
 
+    common = common_shingles(docs, width)
+
     def index(batches):
         shingler, index, met = Shingler(width), Index(percent), set()
         for b in batches:
@@ -233,7 +305,7 @@ def ties(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     continue
                 if len(met) < MEMO_WORDS:
                     met.add(d)
-                sigs.append(index.signatures(s))
+                sigs.append(index.signatures(s, common))
                 ids.append(np.full(len(sigs[-1]), i, np.int64))
                 if len(ids) >= 128:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
@@ -268,9 +340,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     """doc_id, n_shingles, component_id, one row per row of docs."""
     spark = docs.sparkSession
     rows = written(classes(docs, width), "join-rows")
-    first = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    docs = docs.filter("doc_id IS NOT NULL")
+    first = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     first = written(first, "join-classes")
-    member = rows.join(first, "digest").select("doc_id", "n_shingles", "class_id")
+    member = rows.filter("doc_id IS NOT NULL").join(first, "digest").select("doc_id", "n_shingles", "class_id")
     candidates = connected_components(written(ties(docs, width, percent), "join-ties"))
     # of each class one member stands for all, and is compared in its component
     standing = candidates.withColumnRenamed("id", "doc_id").join(member.distinct(), "doc_id").groupBy("class_id", "n_shingles").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("doc_id").alias("doc_id"))
@@ -350,3 +423,22 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
+
+
+#: The same by brute force: all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = doc_id), doc_id)) AS component_id FROM s
+"""
