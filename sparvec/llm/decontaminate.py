@@ -10,7 +10,8 @@ consistent diagonals.
 Built-in functions only. The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and shuffled beyond; the same
 holds for the few candidate places. Windows are joined as they are made, so no document's windows are gathered.
 
-Defined results: null and empty texts have no words and hold nothing; items shorter than WINDOW words are matched as one window of
+Defined results: null and empty texts have no words and hold nothing; rows without an id can't be named and hold nothing;
+items shorter than WINDOW words are matched as one window of
 their own length, and items without words never; repeated rows give equal rows; ties don't arise; empty tables give an empty result; only
 doc_id and text, and item_id and text, are read, so other columns don't matter.
 """
@@ -89,7 +90,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "filter(array_distinct(flatten(transform(qs, q -> sequence(q, q + size - 1)))),"
         f" k -> item_codes[k] BETWEEN {NUMBER} AND {UNIT} AND length(item_words[k]) > 0)"
     )
-    placed = placed.withColumn("slots", slots).withColumn("pairs", F.expr("array_distinct(transform(slots, k -> struct(item_words[k] AS a, words[k + diagonal] AS b)))"))
+    placed = placed.withColumn("slots", slots).withColumn("pairs", F.expr("array_distinct(transform(slots, k -> struct(item_words[k] AS a, get(words, CAST(k + diagonal AS INT)) AS b)))"))
     one_to_one = F.expr("size(array_distinct(transform(pairs, x -> x.a))) = size(pairs) AND size(array_distinct(transform(pairs, x -> x.b))) = size(pairs)")
     good = placed.filter(one_to_one).select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
     per = good.groupBy("doc_id", "item_id", "n_windows").agg(

@@ -9,7 +9,7 @@ the driver (PER_LANGUAGE vectors of DIMENSIONS half floats a language, MAX_LANGU
 whole texts and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without learning rows everything is ``und``;
-of equal cosines the first language in alphabetical order wins; repeated rows are predicted alike; extra columns are
+rows without an id aren't held out and not learned from; of equal cosines the first language in alphabetical order wins; repeated rows are predicted alike; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -93,7 +93,7 @@ class Model:
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def fit(learn: DataFrame) -> Model | None:
@@ -136,4 +136,4 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identify(docs, fit(docs.filter(~held_out())))
+    return identify(docs, fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out())))

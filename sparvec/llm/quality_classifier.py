@@ -38,14 +38,14 @@ HELD_OUT = 25
 #: Pseudo-labels are taken from rows with at least this probability, at most PSEUDO of each kind a round.
 SURE = 0.97
 PSEUDO = 300
-STEPS = 150
+STEPS = 250
 #: Documents with at least this probability of being good are kept.
 KEEP = 0.5
 SOURCES = 64
 
 #: Terms in fewer learning rows are left out, and those whose chi-square is below a quarter of the rows, within these limits.
 MIN_ROWS = 5
-MIN_CHI, MAX_CHI = 10.0, 30.0
+MIN_CHI, MAX_CHI = 10.0, 60.0
 PREFIXES = (3, 4, 5)
 
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’…"})

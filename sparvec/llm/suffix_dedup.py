@@ -18,7 +18,7 @@ anchors (about one place in 85), and of those only the ones whose seed occurs mo
 Each copy of a text that occurs more than once is covered as a whole, so only one of them takes part in 3 to 5.
 
 Defined results: a null text counts as an empty one; texts shorter than ``min_bytes`` hold no repeat; repeated rows are copies of each other;
-rows that share an id but not the text are told apart by a 64-bit hash of it; extra columns are ignored (``without_repeats``
+rows that share an id (or have none) but not the text are told apart by a 64-bit hash of it; extra columns are ignored (``without_repeats``
 keeps them); an empty table gives an empty result. Texts of any length are read whole. Ties don't matter, as all
 occurrences go.
 """
@@ -38,6 +38,8 @@ MIN_BYTES = 200
 SEED = 32
 #: Anchors of one seed that a task sorts together.
 GROUP = 4096
+#: Stands for a null id while repeats are found; rows without an id are told apart by their texts.
+NO_ID = -(1 << 63)
 #: Anchors that a task holds at a time.
 CHUNK = 16_384
 
@@ -149,7 +151,7 @@ def extents(groups: list, contexts: list[bytes], offsets: list[int], min_bytes:
 
 def _texts(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", F.xxhash64(data).alias("th"), data.alias("data"))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(data).alias("th"), data.alias("data"))
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +188,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]) if out[0] else [], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], kinds[2]), pa.array(np.concatenate(out[3]) if out[3] else [], kinds[3])], names)
 
     marks = written(arrow_step(texts, find, "h long, doc_id long, th long, at long"), "repeat-anchors")
-    seeds = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join below is one that Spark can split where a seed is hot
+    seeds = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-seeds")
     found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "at")).alias("marks"))
     found = found.join(spare, ["doc_id", "th"], "left_anti")
     dealt = found.join(texts, ["doc_id", "th"])
@@ -202,7 +205,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
                 place = at >> 24
                 first, last = place - ((at >> 12) & 4095), place - (at & 4095)
                 parts = -(-n // GROUP)
-                salt = ((place * 7919 + i) * 2654435761 % (1 << 31)) % parts
+                salt = ((place * 7919 + th % 1_000_003) * 2654435761 % (1 << 31)) % parts
                 size = len(h)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(salt, pa.int32()), pa.array(parts > 1), pa.array([i] * size, pa.int64()), pa.array([th] * size, pa.int64()), pa.array(first, pa.int64()), pa.array(place - first, pa.int32()), pa.array([data[x : y + min_bytes] for x, y in zip(first.tolist(), last.tolist())], pa.binary())],
@@ -290,7 +293,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     cut = arrow_step(spans.join(_texts(docs), ["doc_id", "th"]).select("doc_id", "th", "spans", "data"), strip, "doc_id long, th long, cut string").dropDuplicates(["doc_id", "th"])
     whole = rows.filter("whole").select("doc_id", "th", F.lit("").alias("cut")).distinct()
     changed = cut.unionByName(whole).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("cut").alias("__cut"))
-    joined = keyed.join(changed, (keyed["doc_id"] == changed["__id"]) & (keyed["__th"] == changed["__h"]), "left")
+    joined = keyed.join(changed, (F.coalesce(keyed["doc_id"], F.lit(NO_ID)) == changed["__id"]) & (keyed["__th"] == changed["__h"]), "left")
     return joined.withColumn("text", F.coalesce("__cut", "text")).select(*docs.columns)
 
 
@@ -308,7 +311,7 @@ def digests(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     got = rows.join(cut.select("doc_id", "th", F.struct("r", "s", "k").alias("c")), ["doc_id", "th"], "left")
     whole, zero = F.col("whole"), F.lit(0).cast("long")
     return got.select(
-        "doc_id",
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("c.r", zero)).alias("n_removed"),
         F.when(whole, zero + 1).otherwise(F.coalesce("c.s", zero)).alias("n_spans"),
@@ -318,3 +321,23 @@ def digests(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: The same by brute force: every string of 200 bytes, as a slice of the text's bytes.
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(octet_length(h) - 199, 0))) AS p FROM d),
+g AS (SELECT doc_id, p, md5(h[p + 1 : p + 200]) AS k FROM w),
+twice AS (SELECT k FROM g GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS apart FROM g JOIN twice USING (k)),
+numbered AS (SELECT doc_id, p, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 200 AS e FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM runs
+  UNION ALL SELECT doc_id, max(e), max(e), NULL FROM runs GROUP BY doc_id
+),
+cut AS (SELECT doc_id, string_agg(hex(h[a + 1 : coalesce(b, octet_length(h))]), '' ORDER BY a, b NULLS LAST) AS x FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, octet_length(h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(x), h)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""

@@ -5,7 +5,7 @@ largest likelihood under word counts. A multinomial naive Bayes classifier then
 learns from all URLs: those whose words hold one of the seed words count as bad, the others as good. Fixed rules for
 (host, path) come first, the longest that fits deciding.
 
-Bounds: word counts are kept for the VOCABULARY most frequent words and the fixed lists, naive Bayes counts for BUCKETS hashed
+Word counts come from the parts of all paths and from fixed lists. Bounds: they are kept for the VOCABULARY most frequent words and the fixed lists, naive Bayes counts for BUCKETS hashed
 words, so what goes to the driver and into tasks doesn't grow. Counting covers every row and is pre-aggregated.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, no words, and the class that the
@@ -116,11 +116,9 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def word_counts(urls: DataFrame) -> dict[str, int]:
-    """Counts of the parts of hosts and paths, over all rows; pre-aggregated by host and by path part."""
-    # a host that holds a third of all rows is counted before its parts are taken
-    hosts = urls.groupBy("host").count().select(F.explode(F.regexp_extract_all("host", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"), "count")
-    paths = urls.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"), F.lit(1).cast("long").alias("count"))
-    top = hosts.unionByName(paths).groupBy("w").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
+    """Counts of the parts of all paths, and the fixed lists. Host names don't count: what is to be split would be a word itself."""
+    paths = urls.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
+    top = paths.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
     found = {r["w"]: int(r["n"]) for r in top.collect()}
     rows = max(1, sum(found.values()) // 1000)
     for w in (*COMMON, *SEEDS):
