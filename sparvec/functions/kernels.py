@@ -129,6 +129,40 @@ def products_sum(products: np.ndarray, bits: int) -> np.ndarray:
     return ((a[0] + a[1]) + (a[2] + a[3])) + ((a[4] + a[5]) + (a[6] + a[7])) + tail
 
 
+def column_scores(columns: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
+    """The same sums from columns of decoded codes (one row a coordinate), which stay in cache: the fast way for many queries."""
+    p, n = columns.shape
+    part, term = np.empty(n, F32), np.empty(n, F32)
+    if bits != 4:
+        lanes = np.zeros((4, n), F32)
+        for i in range(p):
+            np.multiply(columns[i], q[i], out=part)
+            lanes[i % 4] += part
+        return (lanes[0] + lanes[1]) + (lanes[2] + lanes[3])
+    pairs = (p + 1) // 2
+    blocks = pairs // 8 * 8
+    acc, tail = np.zeros((8, n), F32), np.zeros(n, F32)
+    for b in range(pairs):
+        np.multiply(columns[2 * b], q[2 * b], out=term)
+        if 2 * b + 1 < p:
+            np.multiply(columns[2 * b + 1], q[2 * b + 1], out=part)
+            term += part
+        if b < blocks:
+            acc[b % 8] += term
+        else:
+            tail += term
+    return ((acc[0] + acc[1]) + (acc[2] + acc[3])) + ((acc[4] + acc[5]) + (acc[6] + acc[7])) + tail
+
+
+def column_sums(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products from columns, in one running sum."""
+    part, total = np.empty(columns.shape[1], F32), np.zeros(columns.shape[1], F32)
+    for column, x in zip(columns, q):
+        np.multiply(column, x, out=part)
+        total += part
+    return total
+
+
 def raw_scores(codes: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
     """Inner products of each row's centroids with one prepared query."""
     return products_sum(dequantize(codes, bits) * q[None, :], bits)

@@ -107,13 +107,13 @@ def search(slots: DataFrame, queries: DataFrame, config: IndexConfig, k: int, ve
     live = slots.filter("alive") if "alive" in slots.columns else slots
 
     def score(rows: Rows, qs: Rows):
-        table = kernels.dequantize(rows["codes"], config.bits)
-        second = kernels.dequantize(rows["codes2"], 4) if config.residual else None
+        columns = np.ascontiguousarray(kernels.dequantize(rows["codes"], config.bits).T)
+        second = np.ascontiguousarray(kernels.dequantize(rows["codes2"], 4).T) if config.residual else None
         out = []
         for i, q in zip(qs["qid"], qs["q"]):
-            s = kernels.products_sum(table * q[None, :], config.bits) * rows["scale"]
+            s = kernels.column_scores(columns, q, config.bits) * rows["scale"]
             if second is not None:
-                s = s + kernels.products_sum(second * q[None, :], 4) * rows["scale2"]
+                s = s + kernels.column_scores(second, q, 4) * rows["scale2"]
             top = best(s, rows["slot"], k)
             out.append((np.full(len(top), i), rows["slot"][top], s[top]))
         yield hit_batch(out)
@@ -133,11 +133,11 @@ def exact_search(slots: DataFrame, queries: DataFrame, dim: int, k: int, vector:
     live = slots.filter("alive") if "alive" in slots.columns else slots
 
     def score(rows: Rows, qs: Rows):
-        x = rows["x"]
-        length = None if dot else kernels.norms(x)
+        columns = np.ascontiguousarray(rows["x"].T)
+        length = None if dot else kernels.norms(rows["x"])
         out = []
         for i, q in zip(qs["qid"], qs["q"]):
-            s = kernels.running_sum(x * q[None, :])
+            s = kernels.column_sums(columns, q)
             if length is not None:
                 s = s / (length * np.sqrt(kernels.running_sum((q * q)[None, :])))
             top = best(s, rows["slot"], k)
