@@ -164,7 +164,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None) ->
         "__group", F.element_at("__bins", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))) + 1).alias("shard")
     )
     out = rows.join(placed, "__group").drop("__group")
-    blocks = max(8, n_groups // BLOCK_ROWS)
+    blocks = max(8, rows.count() // BLOCK_ROWS)
     return with_rank(out, ["shard"], ["doc_id", "text_crc32", "size"], blocks, "slot")
 
 
