@@ -177,7 +177,7 @@ def score_all(s: SparkSession, d: str, c: IndexConfig) -> DataFrame:
 
 add(
     "encode_residual",
-    lambda s, d: encode_in_sql(vectors(s, d), RESIDUAL).select("vec_id", joined("codes"), joined("codes2"), double("scale"), double("scale2")),
+    lambda s, d: encode(vectors(s, d), RESIDUAL).select("vec_id", joined("codes"), joined("codes2"), double("scale"), double("scale2")),
     f"WITH {S.encoded(RESIDUAL)} SELECT vec_id, list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes,"
     " list_aggregate(list_transform(codes2, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes2, CAST(scale AS DOUBLE) AS scale, CAST(scale2 AS DOUBLE) AS scale2 FROM enc",
 )
