@@ -5,8 +5,8 @@ The vectors of each language's learning rows are clustered by spherical k-means,
 the centroid with the largest cosine; a text that is farther from it than nearly all learning rows are is marked as rejected.
 
 Learning reads at most PER_LANGUAGE rows of a language, the ones with the least hash of their id; that bounds what goes to
-the driver (PER_LANGUAGE vectors of DIMENSIONS half floats a language, MAX_LANGUAGES languages at most). Prediction reads
-whole texts and nothing else.
+the driver (PER_LANGUAGE vectors of DIMENSIONS exact counts a language, of two bytes each, or of four in a text where some count needs them;
+MAX_LANGUAGES languages at most). Prediction reads whole texts and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without learning rows everything is ``und``;
 rows without an id aren't held out and not learned from; of equal cosines the first language in alphabetical order wins; repeated rows are predicted alike; extra columns are
@@ -46,6 +46,15 @@ def counts(text: str) -> np.ndarray:
     return sum(np.bincount(x >> shift, minlength=DIMENSIONS) for x in (b * np.uint32(0xC2B2AE3D), two * np.uint32(0x9E3779B1), three * np.uint32(0x9E3779B1)))
 
 
+def packed(many: np.ndarray) -> bytes:
+    """Counts as bytes, exactly: two bytes a count, or four when one doesn't fit."""
+    return many.astype(np.uint16 if many.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * DIMENSIONS else np.uint32)
+
+
 class Model:
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, limits: np.ndarray) -> None:
         self.languages, self.idf, self.centroids, self.owner, self.limits = languages, idf, centroids, owner, limits
@@ -109,7 +118,7 @@ def fit(learn: DataFrame) -> Model | None:
 
     def run(batches):
         for b in batches:
-            got = [(h, x, counts(t).astype(np.float16).tobytes()) for h, x, t in zip(b.column("__h").to_pylist(), b.column("lang").to_pylist(), texts_of(b)) if LETTER.search(t)]
+            got = [(h, x, packed(counts(t))) for h, x, t in zip(b.column("__h").to_pylist(), b.column("lang").to_pylist(), texts_of(b)) if LETTER.search(t)]
             h, x, v = zip(*got) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(x, pa.string()), pa.array(v, pa.binary())], ["h", "lang", "v"])
 
@@ -119,7 +128,7 @@ def fit(learn: DataFrame) -> Model | None:
     first = Window.partitionBy("lang").orderBy("h", "v")
     rows = vectors.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).collect()
     rows.sort(key=lambda r: (r["lang"], r["n"]))
-    return Model.fit([(r["lang"], np.frombuffer(bytes(r["v"]), np.float16)) for r in rows])
+    return Model.fit([(r["lang"], unpacked(bytes(r["v"]))) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

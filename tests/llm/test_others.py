@@ -133,6 +133,18 @@ def test_languages_of_odd_rows(spark, documents, nothing):
     assert {r["lang_pred"] for r in language_id.identify(documents, None).collect()} == {"und"}
 
 
+def test_a_very_long_learning_text_spoils_no_language(spark):
+    rows = [(i, prose(i, 60), "en") for i in range(20)] + [(100 + i, "zwölf größe über straße " * 9 + f"tür{i}", "de") for i in range(20)]
+    docs = spark.createDataFrame([*rows, (200, "ab" * 70_000, "aa"), (201, "q " * 40_000, "aa")], "doc_id long, text string, lang string")
+    many = language_id.counts("ab" * 70_000)
+    assert many.max() > 65_504 and (language_id.unpacked(language_id.packed(many)) == many).all()
+    model = language_id.fit(docs)
+    assert np.isfinite(model.centroids).all() and np.isfinite(model.limits).all()
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert all(got[d]["lang_pred"] == lang and got[d]["score"] > 0 for d, _, lang in rows)
+    assert got[200]["lang_pred"] == got[201]["lang_pred"] == "aa"
+
+
 # URLs
 
 URLS = [
