@@ -3,7 +3,8 @@
 Groups of rows with equal texts are sorted by size; each, largest first, enters the bin with the tightest remaining
 capacity that still holds it, found in a balanced tree of remaining capacities. ``pack`` minimises the number of
 bins of a fixed capacity; ``smallest_capacity`` turns that round and finds, by bisection, the least capacity at which a
-fixed number of bins is enough.
+fixed number of bins is enough. Where one group is larger than the mean, or best fit leaves bins empty at that capacity, the others could be spread
+more evenly: ``leveled`` settles the fullest bin and packs what is left into the remaining bins, until they are near equal.
 
 How it scales: only a histogram goes to the driver. Its classes are (size of a group), exact up to EXACT_SIZE and
 with PRECISION steps to an octave above, so it has at most EXACT_SIZE + 48 * PRECISION rows (under 2**19) however many
@@ -14,7 +15,7 @@ class, a shard or a hot group alone. Texts are never shuffled.
 Defined results: null texts are one group of their own, each row of size 1 (empty texts are another); ties are
 broken by the group's hash, so any partitioning gives the same shards; repeated rows (also of one id) each get a slot;
 an empty table gives an empty result; extra columns are dropped. A group larger than total / shards stays whole, so then
-its shard is larger than the others.
+its shard is larger than the others, which share the rest evenly.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ PRECISION = 1 << 12
 SHARDS = 8
 #: Rows that a block of the two-level counts aims at.
 BLOCK_ROWS = 50_000
+#: Bins are near equal when the fullest and the emptiest differ by at most this share of the mean.
+NEAR = 0.001
 
 
 class CapacityTree:
@@ -112,6 +115,27 @@ def smallest_capacity(classes: list[tuple[int, int]], shards: int) -> tuple[int,
     return high, best[1]
 
 
+def leveled(classes: list[tuple[int, int]], shards: int) -> dict[int, list[tuple[int, int]]]:
+    """Runs (bin, count) by size: the least capacity for all bins, then, the fullest being settled, the least for the others, and so on."""
+    left, free = dict(classes), list(range(shards))
+    runs: dict[int, list[tuple[int, int]]] = {size: [] for size in left}
+    while left:
+        _, got = smallest_capacity(list(left.items()), len(free))
+        load = [0] * len(free)
+        for size, dealt in got.items():
+            for name, n in dealt:
+                load[name] += size * n
+        full, last = load.index(max(load)), (max(load) - min(load)) * len(free) <= NEAR * sum(load)
+        for size, dealt in got.items():
+            for name, n in dealt:
+                if last or name == full:
+                    runs[size].append((free[name], n))
+                    left[size] -= n
+        left = {size: n for size, n in left.items() if n}
+        del free[full]
+    return runs
+
+
 def size_class(size):
     """The upper end of the class of a size: the size itself, or from EXACT_SIZE a multiple of its octave / PRECISION."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(size.cast("double"))) - 12).cast("long")
@@ -145,7 +169,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None) ->
     histogram = groups.groupBy("__class").agg(F.count(F.lit(1)).alias("n"))
     classes = [(int(a), int(b)) for a, b in histogram.collect()]  # bounded: see above
     if capacity is None:
-        _, runs = smallest_capacity(classes, shards)
+        runs = leveled(classes, shards)
     else:
         _, runs = pack(classes, capacity)
     plan = []

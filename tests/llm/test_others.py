@@ -77,6 +77,25 @@ def test_sizes_are_near_equal(spark):
     assert len(sums) == 8 and max(sums) - min(sums) <= 0.005 * sum(sums) / 8
 
 
+def test_a_hot_group_leaves_the_other_shards_even(spark):
+    for share in (0.15, 0.2, 1 / 3, 0.6):
+        hot = int(share / (1 - share) * sum(range(1, 2001)))
+        classes = [(hot, 1), *((s, 1) for s in range(1, 2001))]
+        load = Counter()
+        for size, dealt in sharding.leveled(classes, 8).items():
+            assert sum(n for _, n in dealt) == dict(classes)[size]
+            for b, n in dealt:
+                load[b] += size * n
+        rest = sorted(load.values())[:-1]
+        assert len(load) == 8 and max(load.values()) == hot and rest[-1] - rest[0] <= 0.005 * sum(rest) / 7
+    load = Counter(b for dealt in sharding.leveled([(10, 9)], 8).values() for b, n in dealt for _ in range(n))
+    assert sorted(load.values()) == [1] * 7 + [2]
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, repeat('y', 300), concat(repeat('x', 290), lpad(id, 10, '0'))) AS text")
+    got = {r["shard"]: r["s"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    sums = sorted(got.values())
+    assert set(got) == set(range(8)) and sums[-1] == 301_000 and sums[-2] - sums[0] <= 301
+
+
 # rules
 
 
