@@ -49,6 +49,8 @@ BLOCK_TOKENS = BLOCK * 512
 #: Cells of an incidence matrix that are counted at a time.
 CELLS = 1 << 22
 MEMO_WORDS = 500_000
+#: Ids of odd rows (several texts, repeated) that are broadcast; more are shuffled.
+BROADCAST_IDS = 50_000
 #: Shingles that more of the documents hold than this (in percent) are left out of the universe that is partitioned; and the error of that count.
 COMMON, ERROR = 1.0, 0.5
 #: Signatures that a plan may spend, as a multiple of the fewest.
@@ -415,10 +417,39 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document (the least id) of each component; documents without words stay. All columns are kept."""
-    comps = components(docs, width, percent)
-    gone = comps.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component, one with the least id; documents without words stay, once for each id. All columns are kept.
+
+    Each pair of an id and a text is a document of its own here, and so is each text without an id: pairs that an id doesn't name are told
+    apart by a 63-bit hash. Rows without an id go when a row with one is linked to them.
+    """
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"))
+    several = written(several.filter("a <> b").select(F.col("doc_id").alias("__id")), "join-several")
+    n_several = several.count()
+    keyed = docs
+    if n_several:
+        several = F.broadcast(several) if n_several <= BROADCAST_IDS else several
+        keyed = docs.join(several, F.col("doc_id") == F.col("__id"), "left")
+    unnamed = F.col("doc_id").isNull() | F.col("__id").isNotNull() if n_several else F.col("doc_id").isNull()
+    own = F.xxhash64("doc_id", hashed).bitwiseOR(F.lit(-(1 << 63)))
+    keyed = keyed.withColumn("__key", F.when(unnamed, own).otherwise(F.col("doc_id"))).withColumn("__unnamed", unnamed)
+    comps = components(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent)
+    comps = written(comps.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")), "join-keyed")
+    ids = written(keyed.filter("__unnamed").select(F.col("__key").alias("doc_id"), F.col("doc_id").alias("id"), F.lit(True).alias("unnamed")).distinct(), "join-unnamed")
+    named = comps.join(ids, "doc_id", "left").withColumn("id", F.when(F.col("unnamed"), F.col("id")).otherwise(F.col("doc_id")))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).getField("doc_id").alias("first"))
+    gone = comps.join(first, "component_id").filter("doc_id <> first").select(F.col("doc_id").alias("__key"))
+    stay = keyed.join(gone, "__key", "left_anti")
+    # rows of one key are copies; those without words and id aren't known to be
+    again = written(named.filter("n > 1 AND (n_shingles > 0 OR id IS NOT NULL)").select(F.col("doc_id").alias("__key")), "join-again")
+    n_again = again.count()
+    if n_again:
+        again = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+        hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        copy = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*hashable)))
+        once = stay.join(again, "__key", "left_semi").withColumn("__copy", copy).filter("__copy = 1").drop("__copy")
+        stay = stay.join(again, "__key", "left_anti").unionByName(once)
+    return stay.select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from made import prose
 
 from sparvec.llm import jaccard_join as J
 from sparvec.llm.components import connected_components
@@ -80,6 +81,26 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert {r["doc_id"] for r in out.collect()} == {d for d, (_, c) in want.items() if c == d}
 
 
+def test_repeated_rows_keep_one_row_and_their_text(spark):
+    from sparvec.llm import suffix_dedup
+
+    text = {k: prose(500 + k, 80) for k in range(7)}
+    rows = [(1, text[1], "x")] * 3 + [(None, text[2], "x")] * 3 + [(None, text[3], "x"), (9, text[3], "y"), (4, text[4], "x"), (5, text[4].upper(), "x"), (5, text[5], "x"), (6, text[6], "x")]
+    rows += [(7, None, "x"), (7, "", "x"), (None, "", "x"), (None, None, "y"), (8, text[6] + " end", "x"), (None, text[6].replace(" ", "  "), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __h string").repartition(5)
+    out = J.deduplicated(docs)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"]))
+    assert got == sorted([(1, text[1]), (0, text[2]), (9, text[3]), (4, text[4]), (5, text[5]), (6, text[6])])
+    assert out.columns == docs.columns and sorted(r["doc_id"] or 0 for r in out.collect() if not r["text"]) == [0, 0, 7]
+    left = sorted(((r["doc_id"] or 0, r["text"]) for r in suffix_dedup.without_repeats(out.select("doc_id", "text")).collect() if r["text"]))
+    assert left == got
+    for broadcast in (0, 50_000):
+        J.BROADCAST_IDS, before = broadcast, J.BROADCAST_IDS
+        assert J.deduplicated(docs).count() == out.count()
+        J.BROADCAST_IDS = before
+    assert J.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (2, "a b c d"), (1, "a b c d"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(docs).collect()}
