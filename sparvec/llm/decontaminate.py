@@ -7,6 +7,11 @@ values behind the placeholders must map one to one, so a question with other num
 meeting of templates is not. A document holds an item when at least MIN_PERCENT of the item's windows lie on
 consistent diagonals.
 
+``without_leaks`` drops more (``leaks``): also a document with RUN words of an item in a row, or with COVERED_PERCENT of an item's words in found
+windows, so a word edited in an item of 13 words or more, or a quoted part, doesn't hide it. Here a window counts unless one of its own
+values conflicts: on a diagonal each value of the item needs one value of the document (two may become the same one), and places
+where the value is unchanged always count. Windows of placeholders only must be unchanged. The query's result stays as its SQL has it.
+
 Built-in functions only. The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and shuffled beyond; the same
 holds for the few candidate places. Windows are joined as they are made, so no document's windows are gathered.
 
@@ -25,6 +30,9 @@ from .common import table, written
 
 WINDOW = 5
 MIN_PERCENT = 80
+#: What ``leaks`` takes besides: so many words of an item in a row, or this share of its words.
+RUN = 13
+COVERED_PERCENT = 60
 BROADCAST_ROWS = 500_000
 
 #: Units, in lower case.
@@ -57,9 +65,11 @@ def windows(codes: str, size: int) -> Column:
     return F.when(F.size(codes) >= size, F.expr(f"transform(sequence(1, size({codes}) - {size - 1}), i -> xxhash64(slice({codes}, i, {size})))"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_found, n_slots (placeholders with a value), exact (all of them equal)."""
-    spark = docs.sparkSession
+def _placed(docs: DataFrame, benchmark: DataFrame, likely: str) -> DataFrame | None:
+    """Each diagonal of a document and an item, if the found windows make the pair likely: its windows, their words, the slots and the pairs of values.
+
+    None without items.
+    """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("codes", F.transform("item_words", code))
     items = written(items.filter(F.size("codes") > 0).withColumn("size", F.least(F.size("codes"), F.lit(WINDOW))).dropDuplicates(["item_id", "item_words"]), "bench-items")
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most WINDOW of them
@@ -71,15 +81,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         mine = texts.select("doc_id", F.posexplode(windows("codes", size)).alias("p", "h"))
         found.append(mine.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal")))
     if not found:
-        return spark.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), *[F.col("id").alias(c) for c in ("n_windows", "n_found", "n_slots")], (F.col("id") > 0).alias("exact"))
+        return None
     met = found[0]
     for x in found[1:]:
         met = met.unionByName(x)
     met = written(met.distinct(), "bench-met")
     n_windows = items.select("item_id", (F.size("codes") - F.col("size") + 1).cast("long").alias("n_windows"), "item_words", F.col("codes").alias("item_codes"), "size")
-    enough = F.col("n_found") * 100 >= F.col("n_windows") * MIN_PERCENT
-    likely = met.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("n_found")).join(n_windows.select("item_id", "n_windows"), "item_id").filter(enough).select("doc_id", "item_id")
-    places = met.join(likely, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+    pairs = met.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("n_found")).join(n_windows.select("item_id", "n_windows", "size"), "item_id").filter(likely).select("doc_id", "item_id")
+    places = met.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
     places = written(places, "bench-places")
     small = places.count() <= BROADCAST_ROWS // 10
     source = docs.select("doc_id", "text")
@@ -90,18 +99,54 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "filter(array_distinct(flatten(transform(qs, q -> sequence(q, q + size - 1)))),"
         f" k -> item_codes[k] BETWEEN {NUMBER} AND {UNIT} AND length(item_words[k]) > 0)"
     )
-    placed = placed.withColumn("slots", slots).withColumn("pairs", F.expr("array_distinct(transform(slots, k -> struct(item_words[k] AS a, get(words, CAST(k + diagonal AS INT)) AS b)))"))
-    one_to_one = F.expr("size(array_distinct(transform(pairs, x -> x.a))) = size(pairs) AND size(array_distinct(transform(pairs, x -> x.b))) = size(pairs)")
-    good = placed.filter(one_to_one).select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
+    return placed.withColumn("slots", slots).withColumn("pairs", F.expr("array_distinct(transform(slots, k -> struct(item_words[k] AS a, get(words, CAST(k + diagonal AS INT)) AS b)))"))
+
+
+ENOUGH = f"n_found * 100 >= n_windows * {MIN_PERCENT}"
+FUNCTION = "size(array_distinct(transform(pairs, x -> x.a))) = size(pairs)"
+ONE_TO_ONE = FUNCTION + " AND size(array_distinct(transform(pairs, x -> x.b))) = size(pairs)"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_windows (of the item), n_found, n_slots (placeholders with a value), exact (all of them equal)."""
+    placed = _placed(docs, benchmark, ENOUGH)
+    if placed is None:
+        return docs.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), *[F.col("id").alias(c) for c in ("n_windows", "n_found", "n_slots")], (F.col("id") > 0).alias("exact"))
+    good = placed.filter(ONE_TO_ONE).select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
     per = good.groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("q").alias("n_found"), F.max("n_pairs").cast("long").alias("n_slots"), F.min("same").alias("exact")
     )
-    return per.filter(enough).select("doc_id", "item_id", "n_windows", "n_found", "n_slots", "exact")
+    return per.filter(ENOUGH).select("doc_id", "item_id", "n_windows", "n_found", "n_slots", "exact")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id: what ``matches`` reports, and the documents that hold a large part of an item or an edited one (see above)."""
+    # windows that cover a share of the words are at least a WINDOW-th as many
+    likely = f"n_found * size * 100 >= (n_windows + size - 1) * {COVERED_PERCENT} OR n_found + size > {RUN}"
+    placed = _placed(docs, benchmark, likely)
+    if placed is None:
+        return docs.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"))
+    slot = f"item_codes[k] BETWEEN {NUMBER} AND {UNIT}"
+    value = "get(words, CAST(k + diagonal AS INT))"
+    span = "sequence(q, q + size - 1)"
+    # the changed values of those that have another value elsewhere on the diagonal
+    conflicts = f"CASE WHEN {FUNCTION} THEN slice(pairs, 1, 0) ELSE filter(pairs, x -> x.a <> x.b AND exists(pairs, y -> y.a = x.a AND y.b <> x.b)) END"
+    same = f"forall({span}, k -> NOT ({slot}) OR item_words[k] = {value})"
+    mapped = f"exists({span}, k -> NOT ({slot})) AND NOT exists({span}, k -> {slot} AND array_contains(conflicts, struct(item_words[k] AS a, {value} AS b)))"
+    placed = placed.withColumn("conflicts", F.expr(conflicts)).withColumn("good", F.expr(f"filter(qs, q -> ({same}) OR ({mapped}))"))
+    n = RUN - WINDOW  # windows after the first one of a run
+    run = f"size = {WINDOW} AND size(good) > {n} AND exists(sequence(0, greatest(size(good) - {n + 1}, 0)), i -> get(good, i + {n}) - good[i] = {n})"
+    each = placed.select("doc_id", "item_id", "n_windows", "size", F.expr(run).alias("run"), F.expr(ONE_TO_ONE).alias("one"), F.expr("inline(transform(qs, q -> struct(q, array_contains(good, q) AS fits)))"))
+    each = each.groupBy("doc_id", "item_id", "n_windows", "size", "q").agg(F.max("run").alias("run"), F.max("one").alias("one"), F.max("fits").alias("fits"))
+    per = each.groupBy("doc_id", "item_id", "n_windows", "size").agg(F.max("run").alias("run"), F.count_if("one").alias("n_found"), F.collect_set(F.when(F.col("fits"), F.col("q"))).alias("good"))
+    covered = F.expr(f"size(array_distinct(flatten(transform(good, q -> {span}))))")
+    words = F.col("n_windows") + F.col("size") - 1
+    return per.filter(F.expr(ENOUGH) | F.col("run") | (covered * 100 >= words * COVERED_PERCENT)).select("doc_id", "item_id")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, all columns."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no item, nor a large part of one, all columns."""
+    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,23 @@ def test_leaks_and_reparameterised_questions(spark):
     assert {r["doc_id"] for r in decontaminate.matches(spark.createDataFrame([(1, "a river stone cloud b"), (2, "river cloud stone")], "doc_id long, text string"), short).collect()} == {1}
 
 
+def test_edited_and_quoted_items_are_leaks(spark):
+    item = "if alice buys 12 apples for 3 dollars each and then sells 4 of them to bob how much is left".replace("alice", "Alice").replace("bob", "Bob")
+    words, long_item = item.split(), prose(77, 60)
+    edited = [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(len(words))]
+    twice = item + " when 12 more are bought by Carol for 30 dollars"
+    items = [(1, item), (2, long_item), (3, twice), (4, "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26")]
+    docs = [("so " + x + " or not") for x in edited]
+    docs += [" ".join(long_item.split()[k : k + 45]) for k in (0, 7, 15)] + [" ".join(long_item.split()[20:33])]
+    docs += [twice.replace("12", "50", 1), twice.replace("12", "50"), item.replace("3", "5").replace("4", "5"), item, items[3][1]]
+    clean = [prose(k, 900) for k in range(5)] + [" ".join(words[:9]), "", None, " ".join(long_item.split()[20:30])]
+    d = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*docs, *clean])], "doc_id long, text string, q int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(d, b).collect()) == list(range(len(docs), len(docs) + len(clean)))
+    assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.without_leaks(d, b.limit(0)).count() == d.count()
+    assert decontaminate.matches(d, b).join(decontaminate.leaks(d, b), ["doc_id", "item_id"], "left_anti").isEmpty()
+
+
 @pytest.mark.parametrize("name", ["op7_chat_format", "op8_decontaminate"])
 def test_native_queries_equal_their_sql(spark, small, name):
     from sparvec.llm import queries
