@@ -7,17 +7,17 @@ values behind the placeholders must map one to one, so a question with other num
 meeting of templates is not. A document holds an item when at least MIN_PERCENT of the item's windows lie on
 consistent diagonals.
 
-``without_leaks`` drops more (``leaks``): also a document with RUN words of an item in a row, or with COVERED_PERCENT of an item's words in found
+``without_leaks`` goes by ``leaks``, which takes more: also a document with RUN words of an item in a row, or with COVERED_PERCENT of an item's words in found
 windows, so a word edited in an item of 13 words or more, or a quoted part, doesn't hide it. Here a window counts unless one of its own
 values conflicts: on a diagonal each value of the item needs one value of the document (two may become the same one), and places
-where the value is unchanged always count. Windows of placeholders only must be unchanged. The query's result stays as its SQL has it.
+where the value is unchanged always count. Windows of placeholders only must be unchanged, or any numbers in a row would be an item of numbers. The query's result stays as its SQL has it.
 
 Built-in functions only. The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and shuffled beyond; the same
 holds for the few candidate places. Windows are joined as they are made, so no document's windows are gathered.
 
 Defined results: null and empty texts have no words and hold nothing; rows without an id can't be named and hold nothing;
 items shorter than WINDOW words are matched as one window of
-their own length, and items without words never; repeated rows give equal rows; ties don't arise; empty tables give an empty result; only
+their own length with all values unchanged, and items without words never; repeated rows give equal rows; ties don't arise; empty tables give an empty result; only
 doc_id and text, and item_id and text, are read, so other columns don't matter.
 """
 
@@ -112,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placed = _placed(docs, benchmark, ENOUGH)
     if placed is None:
         return docs.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), *[F.col("id").alias(c) for c in ("n_windows", "n_found", "n_slots")], (F.col("id") > 0).alias("exact"))
-    good = placed.filter(ONE_TO_ONE).select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
+    good = placed.filter(ONE_TO_ONE).filter(f"size = {WINDOW} OR forall(pairs, x -> x.a = x.b)").select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
     per = good.groupBy("doc_id", "item_id", "n_windows").agg(
         F.countDistinct("q").alias("n_found"), F.max("n_pairs").cast("long").alias("n_slots"), F.min("same").alias("exact")
     )
@@ -120,7 +120,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id: what ``matches`` reports, and the documents that hold a large part of an item or an edited one (see above)."""
+    """doc_id, item_id: the documents that hold an item, a large part of one, or an edited one (see above)."""
     # windows that cover a share of the words are at least a WINDOW-th as many
     likely = f"n_found * size * 100 >= (n_windows + size - 1) * {COVERED_PERCENT} OR n_found + size > {RUN}"
     placed = _placed(docs, benchmark, likely)
@@ -133,15 +133,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     conflicts = f"CASE WHEN {FUNCTION} THEN slice(pairs, 1, 0) ELSE filter(pairs, x -> x.a <> x.b AND exists(pairs, y -> y.a = x.a AND y.b <> x.b)) END"
     same = f"forall({span}, k -> NOT ({slot}) OR item_words[k] = {value})"
     mapped = f"exists({span}, k -> NOT ({slot})) AND NOT exists({span}, k -> {slot} AND array_contains(conflicts, struct(item_words[k] AS a, {value} AS b)))"
-    placed = placed.withColumn("conflicts", F.expr(conflicts)).withColumn("good", F.expr(f"filter(qs, q -> ({same}) OR ({mapped}))"))
+    placed = placed.withColumn("conflicts", F.expr(conflicts)).withColumn("good", F.expr(f"filter(qs, q -> ({same}) OR size = {WINDOW} AND {mapped})"))
     n = RUN - WINDOW  # windows after the first one of a run
     run = f"size = {WINDOW} AND size(good) > {n} AND exists(sequence(0, greatest(size(good) - {n + 1}, 0)), i -> get(good, i + {n}) - good[i] = {n})"
-    each = placed.select("doc_id", "item_id", "n_windows", "size", F.expr(run).alias("run"), F.expr(ONE_TO_ONE).alias("one"), F.expr("inline(transform(qs, q -> struct(q, array_contains(good, q) AS fits)))"))
-    each = each.groupBy("doc_id", "item_id", "n_windows", "size", "q").agg(F.max("run").alias("run"), F.max("one").alias("one"), F.max("fits").alias("fits"))
-    per = each.groupBy("doc_id", "item_id", "n_windows", "size").agg(F.max("run").alias("run"), F.count_if("one").alias("n_found"), F.collect_set(F.when(F.col("fits"), F.col("q"))).alias("good"))
+    each = placed.select("doc_id", "item_id", "n_windows", "size", F.expr(run).alias("run"), F.explode("good").alias("q"))
+    per = each.groupBy("doc_id", "item_id", "n_windows", "size").agg(F.max("run").alias("run"), F.collect_set("q").alias("good"))
     covered = F.expr(f"size(array_distinct(flatten(transform(good, q -> {span}))))")
     words = F.col("n_windows") + F.col("size") - 1
-    return per.filter(F.expr(ENOUGH) | F.col("run") | (covered * 100 >= words * COVERED_PERCENT)).select("doc_id", "item_id")
+    return per.filter(F.col("run") | (covered * 100 >= words * COVERED_PERCENT)).select("doc_id", "item_id")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -260,6 +260,17 @@ def test_edited_and_quoted_items_are_leaks(spark):
     assert decontaminate.matches(d, b).join(decontaminate.leaks(d, b), ["doc_id", "item_id"], "left_anti").isEmpty()
 
 
+def test_short_items_and_items_of_placeholders_need_equal_values(spark):
+    numbers = "11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26"
+    b = spark.createDataFrame([(1, "42"), (2, "Paris"), (3, "May 7 days"), (4, numbers), (5, "river 5 cloud")], "item_id long, text string")
+    docs = [(1, "we saw 43 of them"), (2, "Rome is far"), (3, "see 42 there"), (4, "on to Paris"), (5, " ".join(map(str, range(200, 260)))), (6, "x " + numbers), (7, "a river 5 cloud"), (8, "a river 6 cloud")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    short = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, b.filter("item_id <> 4")).collect()}
+    assert short == {(3, 1), (4, 2), (7, 5)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b).collect()} == short | {(6, 4)}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(d, b).collect()) == [1, 2, 5, 8]
+
+
 @pytest.mark.parametrize("name", ["op7_chat_format", "op8_decontaminate"])
 def test_native_queries_equal_their_sql(spark, small, name):
     from sparvec.llm import queries
