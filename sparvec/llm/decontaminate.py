@@ -2,35 +2,35 @@
 
 Texts are cut into words (runs of letters and digits). Words that start with a digit, words with a capital letter, and units are
 replaced by typed placeholders; the template is the sequence that remains. Windows of WINDOW template words of the benchmark are
-joined by hash with those of all documents. On each diagonal (document place minus item place) of a document and an item, the
-values behind the placeholders must map one to one, so a question with other numbers or names is caught, and a chance
-meeting of templates is not. A document holds an item when at least MIN_PERCENT of the item's windows lie on
-consistent diagonals.
-
-``without_leaks`` goes by ``leaks``, which takes more: also a document with RUN words of an item in a row, or with COVERED_PERCENT of an item's words in found
-windows, so a word edited in an item of 13 words or more, or a quoted part, doesn't hide it. Here a window counts unless one of its own
-values conflicts: on a diagonal each value of the item needs one value of the document (two may become the same one), and places
-where the value is unchanged always count. Windows of placeholders only must be unchanged, or any numbers in a row would be an item of numbers. The query's result stays as its SQL has it.
-
-Built-in functions only. The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and shuffled beyond; the same
-holds for the few candidate places. Windows are joined as they are made, so no document's windows are gathered.
-
-Defined results: null and empty texts have no words and hold nothing; rows without an id can't be named and hold nothing;
-items shorter than WINDOW words are matched as one window of
-their own length with all values unchanged, and items without words never; repeated rows give equal rows; ties don't arise; empty tables give an empty result; only
-doc_id and text, and item_id and text, are read, so other columns don't matter.
+joined by hash with those of all documents. Windows without a literal word are evidence only where their values are the same, so they are joined by
+their values; so are items shorter than WINDOW words, as one window of their own length.
+
+Slots are checked on each diagonal (document place minus item place) of a document and an item: each value of the item must stand for one value of the
+document, so a question with other numbers or names is caught, and a chance meeting of templates is not. Two values may become the same one, and
+unchanged values always count; a window goes when one of its own changed values has another value elsewhere on the diagonal. A document holds an
+item when RUN words of it in a row lie in the windows that are left, or COVERED_PERCENT of its words do, on any diagonals; so neither a word edited in an
+item of 13 words or more nor a quotation of a part hides it.
+
+Built-in functions only. The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and shuffled beyond (where Spark splits the
+rows of a frequent window); the same holds for the few candidate places. Windows are joined as they are made, so no document's windows are gathered. A
+document window meets as many rows as the benchmark has windows of its hash.
+
+Defined results: null and empty texts have no words and hold nothing; very long texts are read whole; rows without an id can't be named and hold nothing;
+items without words are never held; repeated rows give one row, and rows that share an id but not the text are checked one by one and give one row; ties
+don't arise; empty tables give an empty result; only doc_id and text, and item_id and text, are read, so other columns don't matter.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 WINDOW = 5
-MIN_PERCENT = 80
-#: What ``leaks`` takes besides: so many words of an item in a row, or this share of its words.
+#: Words of an item in a row, or the share of its words, that make a leak.
 RUN = 13
 COVERED_PERCENT = 60
 BROADCAST_ROWS = 500_000
@@ -60,92 +60,74 @@ def code(word: Column) -> Column:
     )
 
 
-def windows(codes: str, size: int) -> Column:
-    """The hashes of the windows of a template, in order."""
-    return F.when(F.size(codes) >= size, F.expr(f"transform(sequence(1, size({codes}) - {size - 1}), i -> xxhash64(slice({codes}, i, {size})))"))
+def windows(words: str, codes: str, size: int) -> Column:
+    """The hashes of the windows of a text, in order: of their templates, or where these have no literal word, of their values."""
+    template, value = f"slice({codes}, i, {size})", f"slice({words}, i, {size})"
+    if size == WINDOW:
+        key = f"CASE WHEN exists({template}, c -> c NOT BETWEEN {NUMBER} AND {UNIT}) THEN xxhash64({template}) ELSE xxhash64('=', {value}) END"
+    else:
+        key = f"xxhash64('=', {value})"
+    return F.when(F.size(codes) >= size, F.expr(f"transform(sequence(1, size({codes}) - {size - 1}), i -> {key})"))
+
 
+MATCHES = "doc_id long, item_id long, n_words long, n_covered long, longest_run long, exact boolean"
 
-def _placed(docs: DataFrame, benchmark: DataFrame, likely: str) -> DataFrame | None:
-    """Each diagonal of a document and an item, if the found windows make the pair likely: its windows, their words, the slots and the pairs of values.
 
-    None without items.
-    """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("codes", F.transform("item_words", code))
-    items = written(items.filter(F.size("codes") > 0).withColumn("size", F.least(F.size("codes"), F.lit(WINDOW))).dropDuplicates(["item_id", "item_words"]), "bench-items")
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """MATCHES: the words of the item, how many of them the document holds, in a row at most, and whether all their values are the same."""
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("item_codes", F.transform("item_words", code))
+    items = items.filter(F.size("item_codes") > 0).withColumn("size", F.least(F.size("item_codes"), F.lit(WINDOW))).dropDuplicates(["item_id", "item_words"])
+    items = written(items.withColumn("n_words", F.size("item_words").cast("long")), "bench-items")
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most WINDOW of them
+    th = F.xxhash64("text").alias("th")
+    texts = docs.select("doc_id", th, words_of(F.col("text")).alias("words")).withColumn("codes", F.transform("words", code))
     found = []
-    texts = docs.select("doc_id", F.transform(words_of(F.col("text")), code).alias("codes"))
     for size in sizes:
-        bench = items.filter(F.col("size") == size).select("item_id", F.posexplode(windows("codes", size)).alias("q", "h"))
+        bench = items.filter(F.col("size") == size).select("item_id", F.posexplode(windows("item_words", "item_codes", size)).alias("q", "h"))
         small = bench.count() <= BROADCAST_ROWS
-        mine = texts.select("doc_id", F.posexplode(windows("codes", size)).alias("p", "h"))
-        found.append(mine.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal")))
+        mine = texts.select("doc_id", "th", F.posexplode(windows("words", "codes", size)).alias("p", "h"))
+        found.append(mine.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "th", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal")))
     if not found:
-        return None
-    met = found[0]
-    for x in found[1:]:
-        met = met.unionByName(x)
-    met = written(met.distinct(), "bench-met")
-    n_windows = items.select("item_id", (F.size("codes") - F.col("size") + 1).cast("long").alias("n_windows"), "item_words", F.col("codes").alias("item_codes"), "size")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.countDistinct("q").alias("n_found")).join(n_windows.select("item_id", "n_windows", "size"), "item_id").filter(likely).select("doc_id", "item_id")
-    places = met.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+        return docs.sparkSession.createDataFrame([], MATCHES)
+    met = written(functools.reduce(DataFrame.unionByName, found).filter("doc_id IS NOT NULL").distinct(), "bench-met")
+    known = ["doc_id", "th", "item_id"]
+    # windows that cover a share of the words are at least a WINDOW-th as many
+    likely = f"n_found * size * 100 >= n_words * {COVERED_PERCENT} OR n_found + size > {RUN}"
+    pairs = met.groupBy(*known).agg(F.countDistinct("q").alias("n_found")).join(items.select("item_id", "n_words", "size"), "item_id").filter(likely).select(*known)
+    places = met.join(pairs, known, "left_semi").groupBy(*known, "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
     places = written(places, "bench-places")
+    discard(met)
     small = places.count() <= BROADCAST_ROWS // 10
-    source = docs.select("doc_id", "text")
+    source = docs.select("doc_id", "text", th)
     if small:
-        source = source.join(F.broadcast(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    placed = source.join(F.broadcast(places) if small else places, "doc_id").withColumn("words", words_of(F.col("text"))).drop("text").join(n_windows, "item_id")
-    slots = F.expr(
-        "filter(array_distinct(flatten(transform(qs, q -> sequence(q, q + size - 1)))),"
-        f" k -> item_codes[k] BETWEEN {NUMBER} AND {UNIT} AND length(item_words[k]) > 0)"
+        source = source.join(F.broadcast(places.select("doc_id", "th").distinct()), ["doc_id", "th"], "left_semi")
+    placed = source.join(F.broadcast(places) if small else places, ["doc_id", "th"]).withColumn("words", words_of(F.col("text"))).drop("text").join(items, "item_id")
+    span = "sequence(q, q + size - 1)"
+    slot, value = f"item_codes[k] BETWEEN {NUMBER} AND {UNIT}", "get(words, CAST(k + diagonal AS INT))"
+    values = F.expr(f"array_distinct(transform(filter(array_distinct(flatten(transform(qs, q -> {span}))), k -> {slot}), k -> struct(item_words[k] AS a, {value} AS b)))")
+    # the changed values of those that have another value elsewhere on the diagonal; none where each value has one
+    conflicts = F.expr(
+        "CASE WHEN size(array_distinct(transform(pairs, x -> x.a))) = size(pairs) THEN slice(pairs, 1, 0)"
+        " ELSE filter(pairs, x -> x.a <> x.b AND exists(pairs, y -> y.a = x.a AND y.b <> x.b)) END"
     )
-    return placed.withColumn("slots", slots).withColumn("pairs", F.expr("array_distinct(transform(slots, k -> struct(item_words[k] AS a, get(words, CAST(k + diagonal AS INT)) AS b)))"))
-
-
-ENOUGH = f"n_found * 100 >= n_windows * {MIN_PERCENT}"
-FUNCTION = "size(array_distinct(transform(pairs, x -> x.a))) = size(pairs)"
-ONE_TO_ONE = FUNCTION + " AND size(array_distinct(transform(pairs, x -> x.b))) = size(pairs)"
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_found, n_slots (placeholders with a value), exact (all of them equal)."""
-    placed = _placed(docs, benchmark, ENOUGH)
-    if placed is None:
-        return docs.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), *[F.col("id").alias(c) for c in ("n_windows", "n_found", "n_slots")], (F.col("id") > 0).alias("exact"))
-    good = placed.filter(ONE_TO_ONE).filter(f"size = {WINDOW} OR forall(pairs, x -> x.a = x.b)").select("doc_id", "item_id", "n_windows", F.size("pairs").alias("n_pairs"), F.expr("forall(pairs, x -> x.a = x.b)").alias("same"), F.explode("qs").alias("q"))
-    per = good.groupBy("doc_id", "item_id", "n_windows").agg(
-        F.countDistinct("q").alias("n_found"), F.max("n_pairs").cast("long").alias("n_slots"), F.min("same").alias("exact")
+    good = F.expr(f"filter(qs, q -> NOT exists({span}, k -> {slot} AND array_contains(conflicts, struct(item_words[k] AS a, {value} AS b))))")
+    longest = F.expr(
+        "aggregate(good, named_struct('last', -9, 'n', 0, 'most', 0), (s, q) -> named_struct('last', q, 'n', IF(q = s.last + 1, s.n + 1, 1),"
+        " 'most', greatest(s.most, IF(q = s.last + 1, s.n + 1, 1))), s -> s.most + size - 1)"
     )
-    return per.filter(ENOUGH).select("doc_id", "item_id", "n_windows", "n_found", "n_slots", "exact")
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id: the documents that hold an item, a large part of one, or an edited one (see above)."""
-    # windows that cover a share of the words are at least a WINDOW-th as many
-    likely = f"n_found * size * 100 >= (n_windows + size - 1) * {COVERED_PERCENT} OR n_found + size > {RUN}"
-    placed = _placed(docs, benchmark, likely)
-    if placed is None:
-        return docs.sparkSession.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"))
-    slot = f"item_codes[k] BETWEEN {NUMBER} AND {UNIT}"
-    value = "get(words, CAST(k + diagonal AS INT))"
-    span = "sequence(q, q + size - 1)"
-    # the changed values of those that have another value elsewhere on the diagonal
-    conflicts = f"CASE WHEN {FUNCTION} THEN slice(pairs, 1, 0) ELSE filter(pairs, x -> x.a <> x.b AND exists(pairs, y -> y.a = x.a AND y.b <> x.b)) END"
-    same = f"forall({span}, k -> NOT ({slot}) OR item_words[k] = {value})"
-    mapped = f"exists({span}, k -> NOT ({slot})) AND NOT exists({span}, k -> {slot} AND array_contains(conflicts, struct(item_words[k] AS a, {value} AS b)))"
-    placed = placed.withColumn("conflicts", F.expr(conflicts)).withColumn("good", F.expr(f"filter(qs, q -> ({same}) OR size = {WINDOW} AND {mapped})"))
-    n = RUN - WINDOW  # windows after the first one of a run
-    run = f"size = {WINDOW} AND size(good) > {n} AND exists(sequence(0, greatest(size(good) - {n + 1}, 0)), i -> get(good, i + {n}) - good[i] = {n})"
-    each = placed.select("doc_id", "item_id", "n_windows", "size", F.expr(run).alias("run"), F.explode("good").alias("q"))
-    per = each.groupBy("doc_id", "item_id", "n_windows", "size").agg(F.max("run").alias("run"), F.collect_set("q").alias("good"))
-    covered = F.expr(f"size(array_distinct(flatten(transform(good, q -> {span}))))")
-    words = F.col("n_windows") + F.col("size") - 1
-    return per.filter(F.col("run") | (covered * 100 >= words * COVERED_PERCENT)).select("doc_id", "item_id")
+    same = F.expr(f"forall(good, q -> forall({span}, k -> NOT ({slot}) OR item_words[k] = {value}))")
+    each = placed.withColumn("pairs", values).withColumn("conflicts", conflicts).withColumn("good", good).filter(F.size("good") > 0)
+    each = each.select(*known, "n_words", "size", longest.alias("longest"), same.alias("same"), F.explode("good").alias("q"))
+    per = each.groupBy(*known, "n_words", "size").agg(F.max("longest").cast("long").alias("longest_run"), F.min("same").alias("exact"), F.collect_set("q").alias("good"))
+    per = per.withColumn("n_covered", F.expr(f"size(array_distinct(flatten(transform(good, q -> {span}))))").cast("long"))
+    per = per.filter((F.col("longest_run") >= RUN) | (F.col("n_covered") * 100 >= F.col("n_words") * COVERED_PERCENT))
+    best = F.max(F.struct("n_covered", "longest_run", "exact", "n_words")).alias("best")
+    return per.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_words", "best.n_covered", "best.longest_run", "best.exact")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, nor a large part of one, all columns."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,35 +135,44 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH units AS (SELECT unnest([%s]) AS u),
-words AS (
+WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 'b', item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') FROM benchmark WHERE text IS NOT NULL
 ),
-placed AS (SELECT kind, id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM words),
 coded AS (
-  SELECT *, CASE WHEN ascii(word) BETWEEN 48 AND 57 THEN '#1' WHEN lower(word) <> word THEN '#2' WHEN word IN (SELECT u FROM units) THEN '#3' ELSE word END AS c FROM placed
+  SELECT kind, id, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN ascii(x) BETWEEN 48 AND 57 THEN '#1' WHEN lower(x) <> x THEN '#2' WHEN list_contains([%s], x) THEN '#3' ELSE x END) AS c
+  FROM words WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT least(n, 5) AS size FROM coded WHERE kind = 'b'),
+starts AS (
+  SELECT kind, id, w, c, n, size, unnest(range(0, n - size + 1)) AS p FROM coded, sizes WHERE n >= size AND (kind = 'd' OR size = least(n, 5))
 ),
 win AS (
-  SELECT kind, id, n, p, CASE WHEN p + 5 <= n THEN concat_ws(' ', c, lead(c, 1) OVER o, lead(c, 2) OVER o, lead(c, 3) OVER o, lead(c, 4) OVER o) END AS t
-  FROM coded WINDOW o AS (PARTITION BY kind, id ORDER BY p)
+  SELECT kind, id, n, size, p, CASE WHEN size = 5 AND len(list_filter(c[p + 1 : p + size], lambda x: x NOT IN ('#1', '#2', '#3'))) > 0
+    THEN array_to_string(c[p + 1 : p + size], ' ') ELSE '= ' || array_to_string(w[p + 1 : p + size], ' ') END AS t FROM starts
 ),
 met AS (
-  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n - 4 AS n_windows, b.p AS q, d.p - b.p AS diagonal
-  FROM win d JOIN win b ON d.t = b.t AND d.kind = 'd' AND b.kind = 'b'
+  SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS n_words, b.size, b.p AS q, d.p - b.p AS diagonal
+  FROM win d JOIN win b ON d.t = b.t AND d.size = b.size AND d.kind = 'd' AND b.kind = 'b'
 ),
+places AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(range(q, q + size)) AS k FROM met),
 slots AS (
-  SELECT DISTINCT m.doc_id, m.item_id, m.diagonal, i.word AS a, x.word AS b
-  FROM met m JOIN coded i ON i.kind = 'b' AND i.id = m.item_id AND i.p BETWEEN m.q AND m.q + 4 AND i.c IN ('#1', '#2', '#3')
-  JOIN coded x ON x.kind = 'd' AND x.id = m.doc_id AND x.p = i.p + m.diagonal
-),
-checked AS (
-  SELECT doc_id, item_id, diagonal, count(*) AS n_pairs, count(DISTINCT a) AS n_a, count(DISTINCT b) AS n_b, bool_and(a = b) AS same FROM slots GROUP BY ALL
+  SELECT doc_id, item_id, diagonal, k, i.w[k + 1] AS a, x.w[k + diagonal + 1] AS b FROM places
+  JOIN coded i ON i.kind = 'b' AND i.id = item_id JOIN coded x ON x.kind = 'd' AND x.id = doc_id WHERE i.c[k + 1] IN ('#1', '#2', '#3')
 ),
+torn AS (SELECT doc_id, item_id, diagonal, a FROM slots GROUP BY ALL HAVING count(DISTINCT b) > 1),
+bad AS (SELECT doc_id, item_id, diagonal, k FROM slots JOIN torn USING (doc_id, item_id, diagonal, a) WHERE a <> b),
 good AS (
-  SELECT m.*, coalesce(n_pairs, 0) AS n_pairs, coalesce(same, true) AS same FROM met m LEFT JOIN checked k USING (doc_id, item_id, diagonal)
-  WHERE k.n_pairs IS NULL OR (n_pairs = n_a AND n_pairs = n_b)
-)
-SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, count(DISTINCT q) AS n_found, CAST(max(n_pairs) AS BIGINT) AS n_slots, bool_and(same) AS exact
-FROM good GROUP BY doc_id, item_id, n_windows HAVING count(DISTINCT q) * 100 >= n_windows * 80
+  SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM bad x WHERE x.doc_id = m.doc_id AND x.item_id = m.item_id AND x.diagonal = m.diagonal AND x.k >= m.q AND x.k < m.q + m.size)
+),
+other AS (
+  SELECT DISTINCT g.doc_id, g.item_id FROM good g JOIN slots x ON x.doc_id = g.doc_id AND x.item_id = g.item_id AND x.diagonal = g.diagonal AND x.k >= g.q AND x.k < g.q + g.size
+  WHERE x.a <> x.b
+),
+numbered AS (SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q) AS island FROM good),
+runs AS (SELECT doc_id, item_id, count(*) + any_value(size) - 1 AS run FROM numbered GROUP BY doc_id, item_id, diagonal, island),
+longest AS (SELECT doc_id, item_id, max(run) AS longest_run FROM runs GROUP BY ALL),
+covered AS (SELECT doc_id, item_id, n_words, count(DISTINCT k) AS n_covered FROM (SELECT doc_id, item_id, n_words, unnest(range(q, q + size)) AS k FROM good) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_words AS BIGINT) AS n_words, n_covered, CAST(longest_run AS BIGINT) AS longest_run, o.doc_id IS NULL AS exact
+FROM covered JOIN longest USING (doc_id, item_id) LEFT JOIN other o USING (doc_id, item_id) WHERE longest_run >= 13 OR n_covered * 100 >= n_words * 60
 """ % ", ".join(f"'{u}'" for u in UNITS)

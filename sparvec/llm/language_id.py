@@ -4,9 +4,9 @@ A text becomes a vector of hashed n-grams (one to three bytes of its lower-cased
 The vectors of each language's learning rows are clustered by spherical k-means, and a text gets the language of
 the centroid with the largest cosine; a text that is farther from it than nearly all learning rows are is marked as rejected.
 
-Learning reads at most PER_LANGUAGE rows of a language, the ones with the least hash of their id; that bounds what goes to
-the driver (PER_LANGUAGE vectors of DIMENSIONS exact counts a language, of two bytes each, or of four in a text where some count needs them;
-MAX_LANGUAGES languages at most). Prediction reads whole texts and nothing else.
+Learning reads at most PER_LANGUAGE rows of a language, the ones with the least hash of their id, and fewer where more than LEARN_ROWS / PER_LANGUAGE languages
+share LEARN_ROWS rows; every language has one at least. That bounds what goes to the driver: vectors of DIMENSIONS exact counts, of two bytes each, or of four
+in a text where some count needs them. Prediction reads whole texts and nothing else, SLICE texts at a time.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without learning rows everything is ``und``;
 rows without an id aren't held out and not learned from; of equal cosines the first language in alphabetical order wins; repeated rows are predicted alike; extra columns are
@@ -26,7 +26,10 @@ from .common import arrow_step, table, texts_of
 
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 256
+#: Learning rows of all languages together.
+LEARN_ROWS = 128_000
+#: Texts whose counts a task holds together.
+SLICE = 256
 CENTROIDS = 4
 ROUNDS = 12
 #: The share of learning rows that lies farther from its centroid than the limit for rejection.
@@ -92,9 +95,12 @@ class Model:
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [("und", 0.0, True)] * len(texts)
         known = [i for i, t in enumerate(texts) if LETTER.search(t)]
-        if known:
-            cosines = self.vectors(np.stack([counts(texts[i]) for i in known]).astype(np.float32)) @ self.centroids.T
-            for i, row in zip(known, cosines):
+        for at in range(0, len(known), SLICE):
+            part = known[at : at + SLICE]
+            many = np.empty((len(part), DIMENSIONS), np.float32)
+            for row, i in zip(many, part):
+                row[:] = counts(texts[i])
+            for i, row in zip(part, self.vectors(many) @ self.centroids.T):
                 j = int(row.argmax())
                 k = self.owner[j]
                 out[i] = self.languages[k], float(min(1.0, max(0.0, row[j]))), bool(row[j] < self.limits[k])
@@ -108,13 +114,14 @@ def held_out() -> Column:
 def fit(learn: DataFrame) -> Model | None:
     """Learn from the texts and languages of the rows given (doc_id, text, lang)."""
     known = learn.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    per = known.groupBy("lang").count().collect()
     if not per:
         return None
-    mixed = F.xxhash64(F.col("doc_id"))
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * PER_LANGUAGE / r["count"]))) for r in per])
-    # the low hashes of each language; twice as many as wanted, of which the least are kept below
-    low = known.filter(F.pmod(mixed, F.lit(1 << 30)) < share * float(1 << 30)).withColumn("__h", F.pmod(mixed, F.lit(1 << 30)))
+    most = max(1, min(PER_LANGUAGE, LEARN_ROWS // len(per)))
+    mixed = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30))
+    # the low hashes of each language; twice as many as wanted (and all where few are), of which the least are kept below
+    limits = learn.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * most + 20) / r["count"]) * (1 << 30)) for r in per], "__lang string, __limit double")
+    low = known.select(mixed.alias("__h"), "lang", "text").join(F.broadcast(limits), F.col("lang") == F.col("__lang")).filter("__h < __limit")
 
     def run(batches):
         for b in batches:
@@ -126,7 +133,7 @@ def fit(learn: DataFrame) -> Model | None:
 
     vectors = arrow_step(low.select("__h", "lang", "text"), run, "h long, lang string, v binary")
     first = Window.partitionBy("lang").orderBy("h", "v")
-    rows = vectors.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= PER_LANGUAGE).collect()
+    rows = vectors.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).collect()
     rows.sort(key=lambda r: (r["lang"], r["n"]))
     return Model.fit([(r["lang"], unpacked(bytes(r["v"]))) for r in rows])
 

@@ -1,11 +1,12 @@
 """Quality rules: line-first cleaning.
 
 Every line of a text is judged on its own by punctuation, navigation and boilerplate rules; the lines that fail go, and
-then a document that lost too large a part of its text is rejected.
+then a document that lost too large a part of its text is rejected. Long lines are judged like short ones, by shares of their words. All rules
+are linear in the length of a line, also where it is one word.
 
 Defined results: a null text counts as an empty one (no words, base_failed, not kept); a line without a word is neither
-judged nor counted as lost; repeated rows are judged one by one and alike; extra columns are ignored by the query and
-kept by ``clean``; an empty table gives an empty result. Whole texts are read, of any length.
+judged nor counted as lost; repeated rows are judged one by one and alike; a document that loses just MAX_LOST_PERCENT is kept, and a line at another
+limit fails (ties); extra columns are ignored by the query and kept by ``clean``; an empty table gives an empty result. Whole texts are read, of any length.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from collections import Counter
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import arrow_step, table, texts_of
+from .common import arrow_step, table, texts_of, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,7 +40,12 @@ MIN_OPEN_WORDS = 4
 MAX_LOST_PERCENT = 50
 
 CLOSING = ".!?\"'»”’…:;)"
-NAVIGATION = re.compile(r"(?:[|»›•·]\s*\S+\s*){2,}|\S+(?:\s+[/>|]\s+\S+){2,}")
+#: Marks between the items of a menu or a path, as words of their own; those of MARKS also as the beginning or end of a word.
+BETWEEN, MARKS = frozenset("|/>»›•·"), "|»›•·"
+#: A menu has at least MIN_MARKS marks, and this many words to an item at most, on average.
+MIN_MARKS, ITEM_WORDS = 2, 5
+#: A line has boilerplate when it has one phrase to so many words.
+PHRASE_WORDS = 40
 BOILERPLATE = re.compile(
     r"all rights reserved|licensed under|released under|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum"
     r"|click here|sign up|log ?in\b|subscribe|copyright|\(c\) ?\d{4}|SPDX-License-Identifier",
@@ -60,9 +68,10 @@ def line_fails(line: str) -> str | None:
         return "repetition"
     if n < MIN_OPEN_WORDS and line.rstrip()[-1:] not in CLOSING:
         return "punctuation"
-    if ("|" in line or ">" in line or "/" in line or "»" in line or "•" in line) and NAVIGATION.search(line) and n < 40:
+    marks = sum(w in BETWEEN or w[0] in MARKS or w[-1] in MARKS for w in words)
+    if marks >= MIN_MARKS and n - sum(w in BETWEEN for w in words) <= ITEM_WORDS * (marks + 1):
         return "navigation"
-    if n < 40 and BOILERPLATE.search(line):
+    if PHRASE_WORDS * sum(1 for _ in BOILERPLATE.finditer(line)) > n:
         return "boilerplate"
     return None
 
@@ -97,6 +106,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def judged(text: str) -> tuple:
+    """The fields of JUDGED behind the id, and the text without its failing lines."""
     words = text.encode("utf-8", "surrogatepass").split()
     n_words = len(words)
     word_chars = len(text) - sum(map(text.count, SPACES))
@@ -109,9 +119,9 @@ def judged(text: str) -> tuple:
             seen.add(line)
     repeat = repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n_words
-    _, gone, lost = cleaned(text)
+    left, gone, lost = cleaned(text)
     kept = not base_failed and 100 * lost <= MAX_LOST_PERCENT * word_chars
-    return n_words, word_chars, n_symbols, dup, repeat, base_failed, kept, gone, lost
+    return n_words, word_chars, n_symbols, dup, repeat, base_failed, kept, gone, lost, left
 
 
 JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, n_chars_lost long"
@@ -124,7 +134,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            cols = list(zip(*map(judged, texts_of(b)))) or [[]] * len(kinds)
+            cols = list(zip(*(judged(t)[:-1] for t in texts_of(b)))) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
     return arrow_step(docs.select("doc_id", "text"), run, JUDGED)
@@ -132,18 +142,16 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, all columns, with their failing lines removed."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-
     kind = StructType([StructField("text", StringType()), StructField("kept", BooleanType())])
 
     @F.pandas_udf(kind)
     def both(texts: pd.Series) -> pd.DataFrame:
-        got = [(cleaned(t or "")[0], judged(t or "")[6]) for t in texts]
-        return pd.DataFrame(got, columns=["text", "kept"])
+        got = [judged(t or "") for t in texts]
+        return pd.DataFrame({"text": [g[-1] for g in got], "kept": [g[6] for g in got]})
 
-    mark = F.col("__line_first")
-    return docs.withColumn("__line_first", both("text")).filter(mark["kept"]).withColumn("text", mark["text"]).drop("__line_first")
+    (name,) = unused(docs, "judged")
+    mark = F.col(name)
+    return docs.withColumn(name, both("text")).filter(mark["kept"]).withColumn("text", mark["text"]).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
