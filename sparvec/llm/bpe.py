@@ -7,17 +7,20 @@ are compatible when merging their joint bytes gives just these two again; that i
 A place from which no way on was found is marked and never tried again, so each place and token is tried once: linear time.
 The result is the one that repeated merging by rank gives.
 
+Which characters are letters and numbers differs between Unicode versions; here they are what the library takes for such, asked from it once.
+
 Texts are cut into units first (an optional space and a run of other characters, or white space by the pattern's rule); no match of the
 pattern spans two of them. A unit's ids are kept in a bounded memo, as texts repeat their words.
 
 Defined results: a null text counts as an empty one, which has no tokens; lone surrogates are replaced as UTF-8 replaces them;
-repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result. Texts and pieces of any
+repeated rows give repeated results; of tokens that could start at a place the longest that leads to an end is taken (no ties arise); extra columns are ignored; an empty table gives an empty result. Texts and pieces of any
 length are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from itertools import chain
@@ -37,6 +40,36 @@ MEMO_CHARS = 64
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNITS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
+
+
+def library_class(name: str) -> set[str]:
+    """The characters of a class, like ``\\p{L}``, as the library has them."""
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    found = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return set(bytes(found.encode_ordinary(every)).decode())
+
+
+def ranges(chars: set[str]) -> str:
+    """The characters as the inside of a class."""
+    codes = sorted(map(ord, chars))
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
+@functools.cache
+def letters_and_numbers() -> tuple[str, str, str]:
+    """The library's letters and numbers, and all characters that Python's tables class in another way; each as the inside of a class."""
+    import regex
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    letters, numbers = library_class(r"\p{L}"), library_class(r"\p{N}")
+    odd = (set(regex.findall(r"\p{L}", every)) ^ letters) | (set(regex.findall(r"\p{N}", every)) ^ numbers) | (set(filter(str.isalpha, every)) - letters)
+    return ranges(letters), ranges(numbers), ranges(odd)
+
+
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 
@@ -54,7 +87,14 @@ class Coder:
             self.bytes_of[rank] = token
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.pieces = regex.compile(pattern.replace(r"\s", f"[{_WS}]").replace(f"[^[{_WS}]", f"[^{_WS}").replace(r"\S", f"[^{_WS}]")).findall
+        pattern = pattern.replace(r"\s", f"[{_WS}]").replace(f"[^[{_WS}]", f"[^{_WS}").replace(r"\S", f"[^{_WS}]")
+        self.pieces = regex.compile(pattern).findall
+        letters, numbers, odd = letters_and_numbers()
+        # the pattern in the library's classes is slower, so only units with a character that is classed in another way get it
+        self.odd = re.compile(f"[{odd}]").search if odd else lambda unit: None
+        for name, inside in ((r"\p{L}", letters), (r"\p{N}", numbers)):
+            pattern = re.sub(r"(\[[^\]]*?)" + re.escape(name), lambda m: m[1] + inside, pattern).replace(name, f"[{inside}]")
+        self.exact = regex.compile(pattern).findall
         self.lengths = list(map(len, self.bytes_of))
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -129,13 +169,16 @@ class Coder:
     def encode_unit(self, unit: str) -> tuple[int, ...]:
         """The ids of a unit; words of letters, also with one ASCII mark behind, need no pattern."""
         body = unit[1:] if unit[0] == " " else unit
-        if body.isalpha():
+        odd = not unit.isascii() and self.odd(unit)
+        if odd:
+            pass
+        elif body.isalpha():
             return tuple(self.encode_piece(unit.encode()))
-        if body[:-1].isalpha() and body[-1] in ".,;:!?":
+        elif body[:-1].isalpha() and body[-1] in ".,;:!?":
             word = self.memo.get(unit[:-1])
             return (*(self.encode_piece(unit[:-1].encode()) if word is None else word), self.ranks[unit[-1].encode()])
         out: list[int] = []
-        for piece in self.pieces(unit):
+        for piece in (self.exact if odd else self.pieces)(unit):
             out += self.encode_piece(piece.encode("utf-8", "replace"))
         return tuple(out)
 
