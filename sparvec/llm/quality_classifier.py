@@ -1,10 +1,10 @@
 """Quality classifier: co-training of two views.
 
-One classifier sees the content of a text (which of its words and their beginnings are in a vocabulary), the other its page metadata (source, language and layout:
-lengths, and shares of symbols, capitals and repeats). Each is a logistic regression. Over ROUNDS rounds both are trained, each
+One classifier sees the content of a text (which of its words and their beginnings are in a vocabulary, and shares of symbols, capitals and repeats), the other
+the page's metadata, which are the columns beside the text (source, language and length). Each is a logistic regression. Over ROUNDS rounds both are trained, each
 labels the unlabelled rows of which it is sure, and these labels go into the other's training rows. Then each view's log odds are
-calibrated on labelled rows that were held out from all training, and the calibrated views are combined, also there.
-All documents are scored.
+calibrated on labelled rows, and the calibrated views are combined on others; neither were seen by training nor by the choice of the vocabulary, and
+their rows weigh as much as their kind is frequent among all labelled rows. All documents are scored.
 
 A document is bad when its label says low quality or toxic. Learning reads at most PER_KIND rows of each kind (good, low
 quality, toxic, unlabelled), those with the least hash of their id, and a vocabulary of the VOCABULARY terms with the largest
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_step, table, written
+from .common import arrow_step, discard, table, written
 
 PER_KIND = 2_000
 VOCABULARY = 1_000
 ROUNDS = 4
-#: The share of rows held out for calibration, in percent.
-HELD_OUT = 25
+#: The shares of rows held out for calibration, and for combination, in percent.
+CALIBRATED, COMBINED = 15, 15
 #: Pseudo-labels are taken from rows with at least this probability, at most PSEUDO of each kind a round.
 SURE = 0.97
 PSEUDO = 300
@@ -50,7 +50,10 @@ PREFIXES = (3, 4, 5)
 
 PUNCTUATION = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’…"})
 SYMBOL = re.compile(r"[#*$%&|<>]")
-META = 8 + SOURCES + 16 + 12
+LANGUAGES, LENGTHS = 16, 24
+META = SOURCES + LANGUAGES + LENGTHS
+#: Shares that the content view has besides its terms.
+SHARES = 7
 
 
 def terms_of(text: str) -> set[str]:
@@ -62,33 +65,39 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-def metadata(text: str, source: str | None, lang: str | None) -> np.ndarray:
-    """The metadata view: layout numbers, and source, language and length as indicators."""
-    v = np.zeros(META, np.float32)
+def shares(text: str) -> list[float]:
+    """Of symbols, exclamations, repeated words, different words, line ends, capitals and digits."""
     words = text.split()
     n, chars = max(1, len(words)), max(1, len(text))
-    v[0] = math.log1p(len(words)) / 8
-    v[1] = min(1.0, 3 * len(SYMBOL.findall(text)) / n)
-    v[2] = min(1.0, 3 * text.count("!!") / n)
-    v[3] = sum(a == b for a, b in zip(words, words[1:])) / n
-    v[4] = min(1.0, len(set(words)) / n)
-    v[5] = min(1.0, text.count("\n") / n * 4)
-    v[6] = min(1.0, 2 * sum(map(str.isupper, words)) / n)
-    v[7] = min(1.0, sum(map(text.count, "0123456789")) / chars * 10)
-    v[8 + zlib.crc32(("" if source is None else "s" + source).encode()) % SOURCES] = 1
-    v[8 + SOURCES + zlib.crc32(("" if lang is None else "l" + lang).encode()) % 16] = 1
-    v[8 + SOURCES + 16 + min(11, len(words).bit_length())] = 1
+    return [
+        min(1.0, 3 * len(SYMBOL.findall(text)) / n),
+        min(1.0, 3 * text.count("!!") / n),
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        min(1.0, len(set(words)) / n),
+        min(1.0, text.count("\n") / n * 4),
+        min(1.0, 2 * sum(map(str.isupper, words)) / n),
+        min(1.0, sum(map(text.count, "0123456789")) / chars * 10),
+    ]
+
+
+def metadata(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """The metadata view: indicators of source, language and length."""
+    v = np.zeros(META, np.float32)
+    v[zlib.crc32(("" if source is None else "s" + source).encode()) % SOURCES] = 1
+    v[SOURCES + zlib.crc32(("" if lang is None else "l" + lang).encode()) % LANGUAGES] = 1
+    if n_chars is not None:
+        v[SOURCES + LANGUAGES + min(LENGTHS - 1, max(0, n_chars).bit_length())] = 1
     return v
 
 
 def content(texts: list[str], index: dict[str, int]) -> np.ndarray:
-    """The content view: which words of the vocabulary a text has."""
-    m = np.zeros((len(texts), len(index)), np.float32)
-    if not index:
-        return m
+    """The content view: which words of the vocabulary a text has, and its shares."""
+    m = np.zeros((len(texts), len(index) + SHARES), np.float32)
     keys = index.keys()
     for i, t in enumerate(texts):
-        m[i, [index[w] for w in terms_of(t) & keys]] = 1
+        m[i, len(index) :] = shares(t)
+        if index:
+            m[i, [index[w] for w in terms_of(t) & keys]] = 1
     return m
 
 
@@ -97,9 +106,10 @@ class Logistic:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, decay: float = 2e-4, steps: int = STEPS) -> "Logistic":
-        """Both classes weigh the same; Adam on the whole batch, from zero, so the result is deterministic."""
-        sample = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+    def fit(cls, x: np.ndarray, y: np.ndarray, decay: float = 2e-4, steps: int = STEPS, weights: np.ndarray | None = None) -> "Logistic":
+        """Without weights both classes weigh the same. Adam on the whole batch, from zero, so the result is deterministic."""
+        sample = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())) if weights is None else weights / weights.sum()
+        sample = sample.astype(np.float32)
         w, b = np.zeros(x.shape[1], np.float32), 0.0
         m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
         for t in range(1, steps + 1):
@@ -119,19 +129,19 @@ class Model:
     def __init__(self, index: dict[str, int], text: Logistic, meta: Logistic, calibrated: tuple[Logistic, Logistic], combined: Logistic) -> None:
         self.index, self.text, self.meta, self.calibrated, self.combined = index, text, meta, calibrated, combined
 
-    def score(self, texts: list[str], sources: list, langs: list) -> np.ndarray:
+    def score(self, texts: list[str], sources: list, langs: list, lengths: list) -> np.ndarray:
         """Columns: probability of being good by both views, by content, by metadata."""
         if not texts:
             return np.zeros((0, 3))
-        views = (self.text.odds(content(texts, self.index)), self.meta.odds(np.stack([metadata(*x) for x in zip(texts, sources, langs)])))
+        views = (self.text.odds(content(texts, self.index)), self.meta.odds(np.stack([metadata(*x) for x in zip(sources, langs, lengths)])))
         odds = np.stack([c.odds(v[:, None]) for c, v in zip(self.calibrated, views)], axis=1)
         return 1 / (1 + np.exp(-np.clip(np.column_stack([self.combined.odds(odds), odds]), -30, 30)))
 
 
-def cotrain(index: dict[str, int], x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.ndarray) -> Model | None:
-    """y: 1 good, 0 bad, -1 unlabelled; held: rows that only calibration sees."""
-    known, pool = (y >= 0) & ~held, y < 0
-    if len(set(y[known])) < 2 or len(set(y[(y >= 0) & held])) < 2:
+def cotrain(index: dict[str, int], x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, held: np.ndarray, weights: np.ndarray) -> Model | None:
+    """y: 1 good, 0 bad, -1 unlabelled; held: 0 for training, 1 for calibration, 2 for combination; weights: of the rows that are held out."""
+    known, pool = (y >= 0) & (held == 0), (y < 0) & (held == 0)
+    if any(len(set(y[(y >= 0) & (held == k)])) < 2 for k in range(3)):
         return None
     x = (x_text, x_meta)
     labels = [np.where(known, y, -1), np.where(known, y, -1)]  # each view's own training labels
@@ -144,11 +154,22 @@ def cotrain(index: dict[str, int], x_text: np.ndarray, x_meta: np.ndarray, y: np
                 order = np.argsort(-sure, kind="stable")[:PSEUDO]
                 labels[other][free[order[sure[order] >= SURE]]] = kind
         models = [Logistic.fit(v[k >= 0], k[k >= 0]) for v, k in zip(x, labels)]
-    test = (y >= 0) & held
-    views = [m.odds(v[test]) for m, v in zip(models, x)]
-    calibrated = tuple(Logistic.fit(v[:, None], y[test], 1e-4) for v in views)
-    odds = np.stack([c.odds(v[:, None]) for c, v in zip(calibrated, views)], axis=1)
-    return Model(index, models[0], models[1], calibrated, Logistic.fit(odds, y[test], 1e-4))
+    first, second = (y >= 0) & (held == 1), (y >= 0) & (held == 2)
+    calibrated = tuple(Logistic.fit(m.odds(v[first])[:, None], y[first], 1e-4, weights=weights[first]) for m, v in zip(models, x))
+    odds = np.stack([c.odds(m.odds(v[second])[:, None]) for c, m, v in zip(calibrated, models, x)], axis=1)
+    return Model(index, models[0], models[1], calibrated, Logistic.fit(odds, y[second], 1e-4, weights=weights[second]))
+
+
+def held_out():
+    """0 for training, 1 for calibration, 2 for combination."""
+    of = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(100))
+    return F.when(of < CALIBRATED, 1).when(of < CALIBRATED + COMBINED, 2).otherwise(0).alias("held")
+
+
+def views(docs: DataFrame) -> list:
+    """The columns that scoring reads; the length is that of the text where there is no column for it."""
+    length = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.char_length("text").cast("long")
+    return [F.coalesce("text", F.lit("")).alias("text"), F.col("source"), F.col("lang"), length.alias("n_chars")]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -163,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         part = here.filter(F.col("kind") == k).orderBy("h", "doc_id").limit(PER_KIND)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 4 * PER_KIND ids
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang").join(F.broadcast(chosen.select("doc_id", "kind")), "doc_id")
+    sample = docs.select("doc_id", *views(docs)).withColumn("held", held_out()).join(F.broadcast(chosen.select("doc_id", "kind")), "doc_id")
     sample = written(sample.dropDuplicates(["doc_id"]), "classifier-sample")
 
     def terms(batches):
@@ -171,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             got = Counter((w, k) for t, k in zip(b.column("text").to_pylist(), b.column("kind").to_pylist()) for w in terms_of(t))
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([k for _, k in got], pa.int32()), pa.array(list(got.values()), pa.int64())], ["w", "kind", "n"])
 
-    labelled = sample.filter("kind > 0").select("text", "kind")
+    labelled = sample.filter("kind > 0 AND held = 0").select("text", "kind")
     kinds = {r["kind"]: r["count"] for r in labelled.groupBy("kind").count().collect()}
     counts = arrow_step(labelled, terms, "w string, kind int, n long").groupBy("w").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3)])
     n, good = sum(kinds.values()), kinds.get(1, 0)
@@ -189,20 +210,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def features(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            bits = np.packbits(content(texts, index).astype(bool), axis=1)
-            meta = [metadata(*x).tobytes() for x in zip(texts, b.column("source").to_pylist(), b.column("lang").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "kind", "bits", "meta"])
-
-    rows = arrow_step(sample.select("doc_id", "kind", "text", "source", "lang"), features, "doc_id long, kind int, bits binary, meta binary").collect()
+            seen = content(b.column("text").to_pylist(), index)
+            meta = [metadata(*x).tobytes() for x in zip(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("kind"), b.column("held"), pa.array([x.tobytes() for x in np.packbits(seen[:, : len(index)].astype(bool), axis=1)], pa.binary()), pa.array([x.tobytes() for x in seen[:, len(index) :]], pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "kind", "held", "bits", "shares", "meta"])
+
+    rows = arrow_step(sample.select("doc_id", "kind", "held", "text", "source", "lang", "n_chars"), features, "doc_id long, kind int, held int, bits binary, shares binary, meta binary").collect()
+    # of all labelled rows, not of the sample
+    frequent = {r["kind"]: r["count"] for r in here.groupBy("kind").count().collect()}
+    discard(sample)
     if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
-    x_text = np.stack([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))[: len(index)] for r in rows]).astype(np.float32)
-    x_meta = np.stack([np.frombuffer(bytes(r["meta"]), np.float32) for r in rows])
+    floats = lambda c: np.stack([np.frombuffer(bytes(r[c]), np.float32) for r in rows])
+    bits = np.stack([np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8))[: len(index)] for r in rows]).astype(np.float32)
     y = np.array([{-1: -1, 1: 1}.get(r["kind"], 0) for r in rows])
-    held = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 100 < HELD_OUT for r in rows])
-    return cotrain(index, x_text, x_meta, y, held)
+    sampled = Counter(r["kind"] for r in rows)
+    weights = np.array([frequent[r["kind"]] / sampled[r["kind"]] for r in rows])
+    return cotrain(index, np.concatenate([bits, floats("shares")], axis=1), floats("meta"), y, np.array([r["held"] for r in rows]), weights)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,11 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            p = model.score(texts, b.column("source").to_pylist(), b.column("lang").to_pylist()) if model else np.full((len(texts), 3), 0.5)
+            columns = [b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars")]
+            p = model.score(*columns) if model else np.full((b.num_rows, 3), 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p[:, 0] >= KEEP), *(pa.array(p[:, k].astype(np.float64)) for k in range(3))], ["doc_id", "kept", "score", "content_score", "metadata_score"])
 
-    return arrow_step(docs.select("doc_id", "text", "source", "lang"), run, "doc_id long, kept boolean, score double, content_score double, metadata_score double")
+    return arrow_step(docs.select("doc_id", *views(docs)), run, "doc_id long, kept boolean, score double, content_score double, metadata_score double")
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,11 +249,12 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
 
     @F.pandas_udf("boolean")
-    def keeps(text: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
+    def keeps(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.Series:
         plain = lambda s: [None if x is None or x != x else x for x in s]
-        return pd.Series(model.score([t or "" for t in plain(text)], plain(source), plain(lang))[:, 0] >= KEEP)
+        lengths = [None if x is None else int(x) for x in plain(n_chars)]
+        return pd.Series(model.score(plain(text), plain(source), plain(lang), lengths)[:, 0] >= KEEP)
 
-    return docs.filter(keeps("text", "source", "lang"))
+    return docs.filter(keeps(*views(docs)))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -406,6 +406,37 @@ def test_the_classifier_learns_two_views(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_scores_equal_a_plain_version(spark, small):
+    import math
+
+    docs = spark.read.parquet(small + "/documents.parquet")
+    model = quality_classifier.fit(docs, spark.read.parquet(small + "/labels.parquet"))
+    got = {r["doc_id"]: r for r in quality_classifier.op3_quality_classifier(spark, small).collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for r in docs.collect():
+        text = r["text"] or ""
+        odds = model.text.bias + sum(model.text.weights[i] for w, i in model.index.items() if w in quality_classifier.terms_of(text))
+        odds += sum(a * b for a, b in zip(model.text.weights[len(model.index) :], quality_classifier.shares(text)))
+        meta = model.meta.bias + sum(a * b for a, b in zip(model.meta.weights, quality_classifier.metadata(r["source"], r["lang"], r["n_chars"])))
+        views = [c.bias + c.weights[0] * v for c, v in zip(model.calibrated, (odds, meta))]
+        both = model.combined.bias + sum(a * b for a, b in zip(model.combined.weights, views))
+        mine = got[r["doc_id"]]
+        assert np.allclose([mine["score"], mine["content_score"], mine["metadata_score"]], list(map(sigmoid, (both, *views))), atol=1e-4)
+        assert mine["kept"] == (mine["score"] >= quality_classifier.KEEP)
+
+
+def test_held_out_rows_choose_no_terms(spark):
+    """Words that only held-out rows have aren't in the vocabulary, and chance labels get chance probabilities."""
+    ids = [i for i in range(3000)]
+    held = {r["i"]: r["held"] for r in spark.createDataFrame([(i,) for i in ids], "i long").withColumn("doc_id", F.col("i")).select("i", quality_classifier.held_out()).collect()}
+    rows = [(i, prose(i, 40) + (" leaked" if held[i] and i % 4 == 0 else ""), "en", "s", 200) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert set(held.values()) == {0, 1, 2} and "leaked" not in quality_classifier.fit(docs, marks).index
+    got = [r["score"] for r in quality_classifier.classify(docs, marks).collect()]
+    assert abs(np.mean(got) - 0.75) < 0.05
+
+
 def test_the_classifier_without_labels_or_rows(spark, documents, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_classifier.classify(documents, none)
