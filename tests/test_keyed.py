@@ -70,3 +70,23 @@ def test_compacting_nothing_and_everything(spark, base):
     assert dump(keyed.compact(base.withColumn("alive", F.lit(False)))) == []
     none = base.filter("false")
     assert dump(keyed.add_keyed(none, changes(spark, [(1, 5, "a")]))) == [(0, 5, 0, True, "a")]
+
+
+def test_vectors_without_a_key_all_get_slots(spark, base):
+    rows = spark.createDataFrame([(1, None, "a"), (5, 10, "b"), (9, None, "c"), (7, 88, "d")], "seq long, key long, val string")
+    got = dump(keyed.add_keyed(base, rows))
+    assert got[1][4] == "b" and got[6:] == [(6, None, None, True, "a"), (7, 88, 0, True, "d"), (8, None, None, True, "c")]
+    many = dump(keyed.add_keyed_multi(base, rows))
+    assert many[6:] == [(6, None, None, True, "a"), (7, 10, 1, True, "b"), (8, 88, 0, True, "d"), (9, None, None, True, "c")]
+    assert [r[3] for r in dump(keyed.remove_keyed(base, spark.createDataFrame([(None,), (10,)], "key long")))] == [True, False, True, True, True, True]
+
+
+@pytest.mark.parametrize("blocks", [4, 1024])
+def test_numbers_follow_any_sequence(spark, blocks, monkeypatch):
+    monkeypatch.setattr(keyed, "BLOCKS", blocks)
+    values = [(-1) ** i * (i * 7919**3 % 2**61) for i in range(1, 3000)] + [2**63 - 1, -(2**63), 0]
+    got = keyed.numbered(spark.createDataFrame([(v,) for v in values], "seq long").repartition(7), "seq", "n").collect()
+    assert {r["seq"]: r["n"] for r in got} == {v: i for i, v in enumerate(sorted(values))}
+    assert keyed.numbered(spark.range(0).withColumnRenamed("id", "seq"), "seq", "n").count() == 0
+    plan = keyed.numbered(spark.range(5000).withColumnRenamed("id", "seq"), "seq", "n")
+    assert plan.agg(F.max("n"), F.countDistinct("n")).first()[:] == (4999, 5000)
