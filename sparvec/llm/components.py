@@ -5,30 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every id that occurs in edges (a, b); component is the least id that can be reached.
 
     Each round hangs the larger neighbours of every node on its least neighbour, then the smaller ones; a chain or a star of any size
-    shrinks geometrically, and no node's neighbours are ever gathered. Null ends and loops count for nothing.
+    shrinks geometrically, and no node's neighbours are ever gathered. The least neighbours are written before they are joined, so that Spark can
+    split the rows of a hub in the join. Null ends and loops count for nothing.
     """
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "components")
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "components")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        discard(e, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        discard(large, least)
         # done when every edge is from a node to a root
-        if new.select(F.col("v").alias("u")).join(new, "u", "left_semi").isEmpty() and new.groupBy("u").count().filter("count > 1").isEmpty():
-            e = new
+        if e.select(F.col("v").alias("u")).join(e, "u", "left_semi").isEmpty() and e.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        e = new
     else:
         raise RuntimeError(f"components need more than {most_rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = written(found, "components")
+    discard(e)
+    return found

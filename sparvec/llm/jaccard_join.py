@@ -11,22 +11,26 @@ more than deletions, as for small sets, deletions are indexed.
 Shingles of very many documents (common lines) would be met everywhere, so they are counted first and left out of the universe: two sets without
 them differ in no more shingles than before, so every link is still found.
 
-1. Sets are made in one pass over the texts. Equal sets are one class; a task indexes only the first set of a class that it meets.
-2. Signatures meet in a shuffle; every set that shares one is tied to the first of its bucket, streaming, so a bucket of any size needs no
-   memory and gives no pairs. The ties' components hold every pair of linked sets.
+1. Sets are made in one pass over the texts. Equal sets are one class, named by its least id, with a sketch of its set: one bit for each of about as many
+   places as it has shingles, the parity of the shingles hashed there. The bits in which two sketches differ are a lower bound of the shingles in which
+   the sets differ, so a pair with too many such bits is no link.
+2. Signatures meet in a shuffle. Buckets with the same members are one; in each bucket the members are tied that their sketches and sizes allow to link. A
+   bucket beyond HOT members is streamed instead, each tied to the first. So no bucket gives pairs, and the ties' components hold every pair of linked sets.
 3. The members of a component are dealt out in blocks of BLOCK sets by size; each pair of blocks whose sizes can link is one group. In a
    group all overlaps are counted exactly, as a product of incidence matrices, and only a spanning star of each linked part is returned: no
-   pairs leave a task, whatever the number of links.
+   pairs leave a task, whatever the number of links. Of a component of several blocks, all members first meet its HEADS heads; members
+   that these link needn't meet each other again.
 4. The components of these stars and of the classes are the result.
 
 Shingles are compared as 64-bit hashes. Defined results: null and empty texts have no words, an empty set, and link with nothing; a text
 with fewer words than a shingle is one shingle; repeated rows are one class; rows without an id link with nothing and get no component;
-where one id names several texts, its row counts as linked when the text that is compared is; ties don't arise, as links are undirected; extra
+where one id names several texts, each of its rows has the component of its own text; ties don't arise, as links are undirected; extra
 columns are ignored (``deduplicated`` keeps them); an empty table gives an empty result. Whole texts of any length are used.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from typing import NamedTuple
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_step, partitions_for, table, texts_of, written
+from .common import arrow_step, discard, partitions_for, table, texts_of, written
 from .components import connected_components
 
 WIDTH = 3
@@ -46,6 +50,12 @@ PERCENT = 90
 BLOCK = 1024
 #: Shingles of a block; each set counts as 512 at least.
 BLOCK_TOKENS = BLOCK * 512
+#: Sets of a large component that all its members meet.
+HEADS = 8
+#: Bits of the largest sketch.
+SKETCH_BITS = 1 << 16
+#: Members of a bucket that are compared by their sketches.
+HOT = 4096
 #: Cells of an incidence matrix that are counted at a time.
 CELLS = 1 << 22
 MEMO_WORDS = 500_000
@@ -243,23 +253,61 @@ def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
         label = new
 
 
-SETS = "doc_id long, n_shingles long, digest binary"
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the shingles hashed to each of 2**k places, at least as many as there are shingles, up to SKETCH_BITS."""
+    bits = min(SKETCH_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null where it is empty), one row per document."""
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, as wide as the narrowest: half of one upon the other is the sketch of half as many places."""
+    width = min(map(len, sketches))
+    out = np.zeros((len(sketches), width // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0)
+    return out
+
+
+def possible(sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the first one that it reaches by pairs that sizes and sketches allow to link."""
+    n = len(sizes)
+    label, left = np.arange(n), np.ones(n, bool)
+    for first in range(n):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue = [first]
+        while queue and left.any():
+            i = queue.pop()
+            rest = np.flatnonzero(left)
+            fits = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
+            rest = rest[fits]
+            apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = rest[apart * (100 + percent) <= (sizes[rest] + sizes[i]) * (100 - percent)]
+            label[near], left[near] = first, False
+            queue += near.tolist()
+    return label
+
+
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, digest and sketch of the set (null where it is empty), one row per document."""
 
     def run(batches):
         shingler = Shingler(width)
         for b in batches:
-            n, d = [], []
+            n, d, k = [], [], []
             for t in texts_of(b):
                 s = shingler.shingles(t)
                 n.append(len(s))
-                d.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary())], ["doc_id", "n_shingles", "digest"])
+                d.append(digest_of(s) if len(s) else None)
+                k.append(sketch(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(k, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return arrow_step(docs.select("doc_id", "text"), run, SETS)
+    return arrow_step(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -286,12 +334,12 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     per = written(arrow_step(docs.select("text"), count, "x long, c long, n long"), "join-common")
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = per.filter("c > 0").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") * 100 >= total * COMMON).collect()
+    discard(per)
     return np.sort(np.array([r["x"] for r in rows], np.int64).astype(np.uint64))
 
 
-def ties(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): every set that shares a signature with others, tied to the first one of that bucket."""
-
+def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(bucket, doc_id): the documents that share a signature with others. Signatures that the same documents share are one bucket."""
     common = common_shingles(docs, width)
 
     def index(batches):
@@ -302,7 +350,7 @@ def ties(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 s = shingler.shingles(t)
                 if not len(s):
                     continue
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                d = digest_of(s)
                 if d in met:
                     continue
                 if len(met) < MEMO_WORDS:
@@ -315,76 +363,176 @@ def ties(docs: DataFrame, width: int, percent: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
 
-    def tie(batches):
-        last_sig, first = None, None
-        for b in batches:
-            sig, doc = b.column("sig").to_numpy(), b.column("doc_id").to_numpy()
-            if not len(sig):
+    def shared(batches):
+        known: set[int] = set()
+        # of the signature that isn't over: its members so far, or none when they have been sent on as those of a hot one
+        last, held, hot = None, np.zeros(0, np.int64), False
+        for b in _with_end(batches):
+            sig, doc = (b.column("sig").to_numpy(), b.column("doc_id").to_numpy()) if b is not None else (np.zeros(0, np.int64),) * 2
+            if b is not None and not len(sig):
                 continue
-            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            head = doc[new]
-            if sig[0] == last_sig:
-                head[0] = first
-            heads = np.repeat(head, np.diff(np.append(new, len(sig))))
-            last_sig, first = sig[-1], heads[-1]
-            other = heads != doc
-            if other.any():
-                pairs = np.unique(np.stack([heads[other], doc[other]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+            ends = np.append(start[1:], len(sig))
+            out: list[tuple[int, np.ndarray]] = []
+
+            def over(members: np.ndarray) -> None:
+                members = np.unique(members)
+                if len(members) > 1:
+                    key = xxhash.xxh3_64_intdigest(members.tobytes())
+                    if key not in known:
+                        if len(known) < MEMO_WORDS:
+                            known.add(key)
+                        out.append((key, members))
+
+            first = 0
+            if last is not None:
+                if len(sig) and sig[0] == last:
+                    held, first = np.concatenate([held, doc[: ends[0]]]), 1
+                    if hot or len(held) > HOT:
+                        out.append((int(last) & 0xFFFFFFFFFFFFFFFF, held))
+                        held, hot = np.zeros(0, np.int64), True
+                if len(start) > first or not len(sig):  # another signature follows
+                    if not hot:
+                        over(held)
+                    last = None
+            if len(start) > first:
+                for k in first + np.flatnonzero(ends[first:-1] - start[first:-1] > 1):
+                    over(doc[start[k] : ends[k]])
+                last, held, hot = sig[-1], doc[start[-1] :], False
+            if out:
+                keys = np.repeat(np.array([k for k, _ in out], np.uint64), [len(m) for _, m in out]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([m for _, m in out]))], ["bucket", "doc_id"])
 
     spark = docs.sparkSession
     found = arrow_step(docs.select("doc_id", "text"), index, "sig long, doc_id long")
-    met = found.repartition(partitions_for(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(tie, "a long, b long")
-    return met.distinct()
+    return found.repartition(partitions_for(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(shared, "bucket long, doc_id long").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def ties(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from (bucket, class_id, n_shingles, sketch): members of a bucket that may link, each tied to the first that it reaches."""
+
+    def tie(batches):
+        key, rows, first = None, [], None
+
+        def done():
+            label = possible(np.array([r[1] for r in rows], np.int64), folded([r[2] for r in rows]), percent)
+            return [(rows[j][0], rows[i][0]) for i, j in enumerate(label.tolist()) if rows[i][0] != rows[j][0]]
+
+        for b in _with_end(batches):
+            out: list[tuple[int, int]] = []
+            for k, *r in zip(*(b.column(c).to_pylist() for c in ("bucket", "class_id", "n_shingles", "sketch"))) if b is not None else [(None, None)]:
+                if k != key:
+                    if len(rows) > 1:
+                        out += done()
+                    key, rows, first = k, [], None
+                if first is not None:
+                    out.append((first, r[0]))
+                    continue
+                rows.append(r)
+                if len(rows) > HOT:
+                    first = rows[0][0]
+                    out += [(first, x[0]) for x in rows[1:]]
+                    rows = []
+            if out:
+                x = np.unique(np.array(out, np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    spark = members.sparkSession
+    dealt = members.select("bucket", "class_id", "n_shingles", "sketch").repartition(partitions_for(spark), "bucket").sortWithinPartitions("bucket", "class_id")
+    return arrow_step(dealt, tie, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs."""
     spark = docs.sparkSession
-    rows = written(classes(docs, width), "join-rows")
+    rows = written(sets(docs, width), "join-rows")
     docs = docs.filter("doc_id IS NOT NULL")
-    first = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    first = written(first, "join-classes")
-    member = rows.filter("doc_id IS NOT NULL").join(first, "digest").select("doc_id", "n_shingles", "class_id")
-    candidates = connected_components(written(ties(docs, width, percent), "join-ties"))
-    # of each class one member stands for all, and is compared in its component
-    standing = candidates.withColumnRenamed("id", "doc_id").join(member.distinct(), "doc_id").groupBy("class_id", "n_shingles").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("doc_id").alias("doc_id"))
-    standing = written(standing, "join-standing")
-    same = connected_components(standing.select(F.col("c1").alias("a"), F.col("c2").alias("b"))) if not standing.filter("c1 <> c2").isEmpty() else None
-    if same is not None:
-        standing = standing.join(same.withColumnRenamed("id", "c1"), "c1", "left").withColumn("c1", F.coalesce("component", "c1")).drop("component")
-    standing = standing.select("doc_id", "class_id", "n_shingles", F.col("c1").alias("part"))
-    # blocks by size, from sums by size, so that no component is sorted in one task
-    weight = F.greatest("n_shingles", F.lit(512).cast("long"))
-    sizes = standing.groupBy("part", "n_shingles").agg(F.sum(weight).alias("w"))
-    upto = Window.partitionBy("part").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    named = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "join-classes")
+    class_of = named.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id")
+    found = written(buckets(docs, width, percent), "join-buckets")
+    members = found.join(class_of, "doc_id").select("bucket", "class_id").distinct()
+    tied = written(ties(members.join(classes, "class_id"), percent), "join-ties")
+    discard(found)
+    parts = connected_components(tied)
+    discard(tied)
+    standing = parts.select(F.col("id").alias("class_id"), F.col("component").alias("part")).join(classes.drop("sketch"), "class_id")
+    links, used = _all_links(docs, standing, width, percent)
+    discard(parts, *used)
+    comps = connected_components(functools.reduce(DataFrame.unionByName, links)).select(F.col("id").alias("class_id"), "component")
+    own = classes.join(comps, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    got = rows.join(own, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    got = written(got, "join-result")
+    discard(rows, classes, *links)
+    return got
+
+
+#: Each set counts as 512 shingles at least.
+WEIGHT = "greatest(n_shingles, 512L)"
+
+
+def _all_links(docs: DataFrame, standing: DataFrame, width: int, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spanning links (a, b) of the members (class_id, digest, n_shingles, part) of all parts; and other written tables, which may go."""
+    total = standing.groupBy("part").agg(F.ceil(F.sum(F.expr(WEIGHT)) / BLOCK_TOKENS).cast("long").alias("n_blocks"))
+    dealt = written(standing.join(total, "part"), "join-standing")
+    # one group of a part; of a large one several, each with the part's heads
+    mine = dealt.withColumn("block", F.pmod(F.xxhash64("class_id"), "n_blocks"))
+    large = dealt.filter("n_blocks > 1")
+    heads = large.groupBy("part", "n_blocks").agg(*[F.min_by(F.struct("class_id", "digest"), F.xxhash64("class_id", F.lit(k))).alias(f"h{k}") for k in range(HEADS)])
+    heads = heads.select("part", "n_blocks", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HEADS)]))).alias("h"))
+    heads = heads.select("part", "h.class_id", "h.digest", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block"))
+    placed = mine.select("part", "class_id", "digest", "block").unionByName(heads).select("part", F.col("block").alias("b1"), F.col("block").alias("b2"), "block", "class_id", "digest")
+    links = written(_links(docs, placed, width, percent), "join-links")
+    if large.isEmpty():
+        return [links], [dealt]
+    # of each large part, what isn't linked yet with most of it
+    comps = connected_components(links)
+    label = F.coalesce("component", "class_id")
+    named = large.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("label", label)
+    named = written(named.select("class_id", "digest", "n_shingles", "part", "label"), "join-named")
+    most = named.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    left = named.join(most.filter("labels > 1"), "part").withColumn("rest", F.col("label") != F.col("most")).drop("label", "most", "labels")
+    # blocks by size, from sums by size, so that no part is sorted in one task; a size that fills more than a block is dealt out by hash
+    sizes = left.groupBy("part", "rest", "n_shingles").agg(F.sum(F.expr(WEIGHT)).alias("w"))
+    upto = Window.partitionBy("part", "rest").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-    total = standing.groupBy("part").agg(F.count(F.lit(1)).alias("all"), F.sum(weight).alias("all_w"))
-    dealt = standing.join(sizes, ["part", "n_shingles"]).join(total, "part").filter("all > 1")
-    # a size that fills more than a block is dealt out by hash
     within = F.pmod(F.xxhash64("class_id"), F.ceil(F.col("w") / BLOCK_TOKENS).cast("long"))
-    dealt = dealt.withColumn("block", F.when(F.col("all_w") <= BLOCK_TOKENS, F.lit(0).cast("long")).otherwise(F.floor(F.col("before") / BLOCK_TOKENS) + within))
-    dealt = written(dealt.select("doc_id", "class_id", "n_shingles", "part", "block"), "join-blocks")
-    blocks = dealt.groupBy("part", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    other = blocks.select("part", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    block = (2 * (F.floor(F.col("before") / BLOCK_TOKENS) + within) + F.col("rest").cast("long")).cast("long")
+    left = written(left.join(sizes, ["part", "rest", "n_shingles"]).withColumn("block", block).drop("w", "before"), "join-blocks")
+    blocks = left.groupBy("part", "block", "rest").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    other = blocks.select("part", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("rest").alias("rest2"))
     # two blocks meet when a size of one can link with a size of the other
-    pairs = blocks.join(other, "part").filter((F.col("block") <= F.col("block2")) & (F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100))
-    roles = pairs.select("part", "block", "block2", F.explode(F.array_distinct(F.array("block", "block2"))).alias("mine"))
-    placed = dealt.join(roles.withColumnRenamed("block", "b1").withColumnRenamed("block2", "b2").withColumnRenamed("mine", "block"), ["part", "block"])
-    texts = docs.select("doc_id", "text").join(dealt.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(_sets(texts, width).dropDuplicates(["doc_id"]), "join-sets")
-    grouped = placed.join(sets, "doc_id").select("part", "b1", "b2", "block", "class_id", "tokens")
-    prepared = grouped.repartition(partitions_for(spark), "part", "b1", "b2").sortWithinPartitions("part", "b1", "b2")
+    pairs = blocks.join(other, "part").filter("block <= block2 AND (rest OR rest2)").filter((F.col("low2") * percent <= F.col("high") * 100) & (F.col("low") * percent <= F.col("high2") * 100))
+    roles = pairs.select("part", F.col("block").alias("b1"), F.col("block2").alias("b2"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    placed = left.join(roles, ["part", "block"]).select("part", "b1", "b2", "block", "class_id", "digest")
+    more = written(_links(docs, placed, width, percent), "join-links")
+    return [links, more], [dealt, comps, named, left]
+
+
+def _links(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): a spanning star of each linked part of the groups (part, b1, b2), whose members are compared by their texts.
+
+    Of a group of two blocks only pairs of both count. One document that has the class's id stands for it; the digest tells its text from others with this id.
+    """
+    grouped = docs.select(F.col("doc_id").alias("class_id"), "text").join(placed, "class_id")
+    prepared = grouped.repartition(partitions_for(docs.sparkSession), "part", "b1", "b2").sortWithinPartitions("part", "b1", "b2")
+    names = ("part", "b1", "b2", "block", "class_id", "digest", "text")
 
     def meet(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        shingler = Shingler(width)
 
         def done(key, members):
+            members = sorted({(m[1], m[2]): m for m in members}.values(), key=lambda m: m[1])
             if len(members) < 2:
                 return
-            members.sort(key=lambda m: m[1])
             side = None if key[1] == key[2] else np.array([m[0] for m in members])
-            label = linked([np.frombuffer(m[2], np.uint64) for m in members], percent, side)
+            label = linked([m[3] for m in members], percent, side)
             ids = np.array([m[1] for m in members])
             tied = label != np.arange(len(label))
             if tied.any():
@@ -392,28 +540,18 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
         key, members = None, []
         for b in batches:
-            for p, b1, b2, mine, c, t in zip(*(b.column(x).to_pylist() for x in ("part", "b1", "b2", "block", "class_id", "tokens"))):
+            for p, b1, b2, mine, c, d, t in zip(*(b.column(x).to_pylist() for x in names)):
                 if key != (p, b1, b2):
                     if key:
                         yield from done(key, members)
                     key, members = (p, b1, b2), []
-                members.append((mine, c, t))
+                s = shingler.shingles(t or "")
+                if digest_of(s) == d:
+                    members.append((mine, c, d, s))
         if key:
             yield from done(key, members)
 
-    links = written(arrow_step(prepared, meet, "a long, b long"), "join-links")
-    comps = connected_components(links).select(F.col("id").alias("class_id"), "component")
-    named = member.distinct().join(comps, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
-    return rows.drop("digest").join(named, ["doc_id", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        shingler = Shingler(width)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingler.shingles(t).tobytes() for t in texts_of(b)], pa.binary())], ["doc_id", "tokens"])
-
-    return arrow_step(texts, run, "doc_id long, tokens binary")
+    return arrow_step(prepared.select(*names), meet, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -434,7 +572,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     own = F.xxhash64("doc_id", hashed).bitwiseOR(F.lit(-(1 << 63)))
     keyed = keyed.withColumn("__key", F.when(unnamed, own).otherwise(F.col("doc_id"))).withColumn("__unnamed", unnamed)
     comps = components(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent)
-    comps = written(comps.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")), "join-keyed")
+    result, comps = comps, written(comps.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")), "join-keyed")
+    discard(result)
     ids = written(keyed.filter("__unnamed").select(F.col("__key").alias("doc_id"), F.col("doc_id").alias("id"), F.lit(True).alias("unnamed")).distinct(), "join-unnamed")
     named = comps.join(ids, "doc_id", "left").withColumn("id", F.when(F.col("unnamed"), F.col("id")).otherwise(F.col("doc_id")))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).getField("doc_id").alias("first"))

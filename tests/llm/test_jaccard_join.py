@@ -74,6 +74,27 @@ def test_whole_tables(spark, documents, nothing, width, percent, block, monkeypa
         assert J.components(nothing, width, percent).count() == 0
 
 
+@settings(deadline=None, max_examples=300)
+@given(st.integers(1, 900), st.integers(0, 60), st.integers(0, 60), st.sampled_from([80, 90]), st.integers(0, 10_000))
+def test_sketches_never_part_linked_sets(size, less, more, percent, seed):
+    all_ = np.unique(J.mixed(np.random.default_rng(seed).integers(1, 1 << 62, size + more).astype(np.uint64)))
+    a, b = all_[: max(1, len(all_) - more)], all_[min(less, len(all_) - 1) :]
+    bits = J.folded([J.sketch(a), J.sketch(b)])
+    assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(a, b))
+    both = len(np.intersect1d(a, b))
+    if 100 * both >= percent * (len(a) + len(b) - both):
+        assert J.possible(np.array([len(a), len(b)]), bits, percent).tolist() == [0, 0]
+
+
+def test_hot_buckets_and_heads_lose_no_link(spark, documents, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 3)
+    monkeypatch.setattr(J, "BLOCK_TOKENS", 4096)
+    for heads in (1, 8):
+        monkeypatch.setattr(J, "HEADS", heads)
+        want = brute([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(documents, 5, 80).collect()} == want
+
+
 def test_one_document_of_each_group_stays(spark, documents):
     out = J.deduplicated(documents)
     want = brute([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)
