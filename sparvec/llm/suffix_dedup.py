@@ -7,13 +7,16 @@ anchors (about one place in 85), and of those only the ones whose seed occurs mo
 
 1. ``anchors``: one pass over each text finds its anchors and the range of strings that each stands for.
 2. Seeds are counted (pre-aggregated); the anchors of seeds that occur once are done.
-3. Each other anchor is dealt out with the text around it, by its seed. A seed with more than GROUP anchors is salted.
+3. Each other anchor is dealt out with the text around it, by its seed; of equal surroundings in one text, which are repeats as a whole, one.
 4. In each group, the suffixes are sorted and their common prefixes (to the right of the anchor) found; a stack scan gives the
    intervals of the common-prefix tree. In each interval the members are put in the order of what stands left of them; neighbours there
    differ in the byte that would extend them next (or end), so the repeat that they share is left-diverse, and every member gets the longest
    one: all occurrences of a maximal repeat are reported, not just neighbours in the suffix array. As all of a member's
    repeats hold its anchor, their union is one span.
-5. For salted seeds, each part also sends one digest for each different string, and digests found in two parts are repeats as well.
+5. A group of more than GROUP anchors is split by further bytes first. Its strings start up to ``min_bytes`` - SEED bytes before the anchor; those of each
+   half of these starts share more bytes than the seed, and these bytes name the new group. An anchor is in both halves, and equal strings stay
+   together. Surroundings that occur twice are repeats as a whole, and one of them goes on for all; groups of one are done. So an anchor in a common
+   passage is followed at the passage's two ends only. Half by half, all groups come to GROUP anchors, or to a single string.
 
 Each copy of a text that occurs more than once is covered as a whole, so only one of them takes part in 3 to 5.
 
@@ -25,6 +28,7 @@ occurrences go.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -32,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_step, partitions_for, table, written
+from .common import arrow_step, discard, partitions_for, table, unused, written
 
 MIN_BYTES = 200
 SEED = 32
-#: Anchors of one seed that a task sorts together.
+#: Anchors that a task sorts together; more are split by further bytes.
 GROUP = 4096
 #: Stands for a null id while repeats are found; rows without an id are told apart by their texts.
 NO_ID = -(1 << 63)
@@ -164,11 +168,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
         raise ValueError(f"min_bytes lies between {2 * SEED} and 4000")
     spark = docs.sparkSession
     texts = _texts(docs)
-    rows = written(texts.select("doc_id", "th", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("m"), F.sha2("data", 256).alias("sha256")), "repeat-rows")
-    classes = rows.groupBy("m", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
-    classes = written(classes, "repeat-classes")
-    copies = classes.filter((F.col("n") > 1) & (F.col("n_bytes") >= min_bytes))
-    rows = rows.join(copies.select("m", "n_bytes", F.lit(True).alias("c")), ["m", "n_bytes"], "left").select("doc_id", "th", "n_bytes", "sha256", F.coalesce("c", F.lit(False)).alias("whole"))
+    read = written(texts.select("doc_id", "th", F.length("data").cast("long").alias("n_bytes"), F.md5("data").alias("m"), F.sha2("data", 256).alias("sha256")), "repeat-read")
+    classes = read.groupBy("m", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
+    copies = written(classes.filter((F.col("n") > 1) & (F.col("n_bytes") >= min_bytes)), "repeat-copies")
+    rows = read.join(copies.select("m", "n_bytes", F.lit(True).alias("c")), ["m", "n_bytes"], "left").select("doc_id", "th", "n_bytes", "sha256", F.coalesce("c", F.lit(False)).alias("whole"))
+    rows = written(rows, "repeat-rows")
+    discard(read)
     # the copies that don't take part
     spare = rows.filter("whole").join(copies.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")), ["doc_id", "th"], "left_anti").select("doc_id", "th").distinct()
 
@@ -190,67 +195,156 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
     marks = written(arrow_step(texts, find, "h long, doc_id long, th long, at long"), "repeat-anchors")
     # written, so that the join below is one that Spark can split where a seed is hot
     seeds = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-seeds")
-    found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "at")).alias("marks"))
+    hot = not seeds.filter(F.col("n") > GROUP).isEmpty()
+    got = [written(_scanned(_dealt(texts, marks, seeds.filter(F.col("n") <= GROUP) if hot else seeds, spare, min_bytes), "h", min_bytes), "repeat-spans")]
+    if hot:
+        members = written(_dealt(texts, marks, seeds.filter(F.col("n") > GROUP), spare, min_bytes), "repeat-hot")
+        got += _split(members, min_bytes)
+        discard(members)
+    discard(copies, marks, seeds)
+    spans = functools.reduce(DataFrame.unionByName, got).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return rows, spans.join(rows.filter("whole").select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+
+
+MEMBERS = "h long, doc_id long, th long, start long, offset int, context binary"
+
+
+def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFrame, min_bytes: int) -> DataFrame:
+    """MEMBERS: each anchor of the seeds given, with the text around it and where in that it is.
+
+    Without a context, a row is a span of a text from start, offset bytes long, that is known to be repeated in that text.
+    """
+    found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
     found = found.join(spare, ["doc_id", "th"], "left_anti")
-    dealt = found.join(texts, ["doc_id", "th"])
 
     def cut(batches):
-        schema = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary())])
+        schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary())])
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
                 data, i, th = (row.column(c)[0].as_py() for c in ("data", "doc_id", "th"))
                 m = row.column("marks").flatten()
-                h, n, at = (m.field(j).to_numpy() for j in range(3))
+                h, at = (m.field(j).to_numpy() for j in range(2))
                 place = at >> 24
-                first, last = place - ((at >> 12) & 4095), place - (at & 4095)
-                parts = -(-n // GROUP)
-                salt = ((place * 7919 + th % 1_000_003) * 2654435761 % (1 << 31)) % parts
-                size = len(h)
+                first, end = place - ((at >> 12) & 4095), place - (at & 4095) + min_bytes
+                contexts = [data[x:y] for x, y in zip(first.tolist(), end.tolist())]
+                offset = place - first
+                known: list[tuple[int, int]] = []
+                if len(np.unique(h)) < len(h):
+                    met: dict[tuple, int] = {}
+                    again = set()
+                    for j, key in enumerate(zip(h.tolist(), offset.tolist(), contexts)):
+                        if met.setdefault(key, j) != j:
+                            again.add(j)
+                            again.add(met[key])
+                    if again:
+                        known = merged(sorted((int(first[j]), int(end[j])) for j in again))
+                        keep = sorted(met.values())
+                        h, first, offset, contexts = h[keep], first[keep], offset[keep], [contexts[j] for j in keep]
+                n, size = len(known), len(h) + len(known)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(salt, pa.int32()), pa.array(parts > 1), pa.array([i] * size, pa.int64()), pa.array([th] * size, pa.int64()), pa.array(first, pa.int64()), pa.array(place - first, pa.int32()), pa.array([data[x : y + min_bytes] for x, y in zip(first.tolist(), last.tolist())], pa.binary())],
+                    [
+                        pa.array(np.concatenate([h, np.full(n, th)])),
+                        pa.array([i] * size, pa.int64()),
+                        pa.array([th] * size, pa.int64()),
+                        pa.array(np.concatenate([first, [x for x, _ in known]]).astype(np.int64)),
+                        pa.array(np.concatenate([offset, [y - x for x, y in known]]).astype(np.int32)),
+                        pa.array(contexts + [None] * n, pa.binary()),
+                    ],
                     schema=schema,
                 )
 
-    members = arrow_step(dealt.select("doc_id", "th", "marks", "data"), cut, "h long, salt int, hot boolean, doc_id long, th long, start long, offset int, context binary")
-    members = members.repartition(partitions_for(spark), "h", "salt").sortWithinPartitions("h", "salt")
+    return arrow_step(found.join(texts, ["doc_id", "th"]).select("doc_id", "th", "marks", "data"), cut, MEMBERS)
+
+
+def _scanned(members: DataFrame, key: str, min_bytes: int) -> DataFrame:
+    """doc_id, th, start, end: the repeats of members that share a key, merged as far as a task can."""
+    members = members.select(key, "doc_id", "th", "start", "offset", "context")
+    members = members.repartition(partitions_for(members.sparkSession), key).sortWithinPartitions(key)
 
     def scan(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
-        names = ("h", "salt", "hot", "doc_id", "th", "start", "offset", "context")
-
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            groups = [(r[0], r[1]) for r in rows]
-            left, right = extents(groups, [r[7] for r in rows], [r[6] for r in rows], min_bytes)
-            out = [(r[3], r[4], r[5] + r[6] - x, r[5] + r[6] + y, None) for r, x, y in zip(rows, left.tolist(), right.tolist()) if x + y]
-            seen: set = set()
-            for r in rows:
-                if r[2]:
-                    for k in range(len(r[7]) - min_bytes + 1):
-                        d = hashlib.blake2b(r[7][k : k + min_bytes], digest_size=16).digest()
-                        if (r[0], r[1], d) not in seen:
-                            seen.add((r[0], r[1], d))
-                            out.append((r[3], r[4], r[5] + k, r[5] + k + min_bytes, d))
-            cols = list(zip(*out)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "start", "end")])
+
+        def done(rows: list[tuple], known: list[tuple]) -> pa.RecordBatch:
+            left, right = extents([r[0] for r in rows], [r[5] for r in rows], [r[4] for r in rows], min_bytes)
+            of: dict[tuple, list] = {}
+            for r, x, y in zip(rows, left.tolist(), right.tolist()):
+                if x + y:
+                    of.setdefault(r[1:3], []).append((r[3] + r[4] - x, r[3] + r[4] + y))
+            for r in known:
+                of.setdefault(r[1:3], []).append((r[3], r[3] + r[4]))
+            out = [(*name, *run) for name, spans in of.items() for run in merged(sorted(spans))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 4], schema=schema)
 
         rows: list[tuple] = []
+        known: list[tuple] = []
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in names)):
-                if len(rows) >= CHUNK and r[:2] != rows[-1][:2]:
-                    yield done(rows)
-                    rows = []
-                rows.append(r)
-        if rows:
-            yield done(rows)
-
-    got = written(arrow_step(members, scan, "doc_id long, th long, start long, end long, digest binary"), "repeat-spans")
-    # what parts of one salted seed share
-    twice = got.filter("digest IS NOT NULL").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    across = got.filter("digest IS NOT NULL").join(twice, "digest").select("doc_id", "th", "start", "end")
-    spans = got.filter("digest IS NULL").select("doc_id", "th", "start", "end").unionByName(across)
-    spans = spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return rows, spans.join(rows.filter("whole").select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+            for r in zip(*(b.column(c).to_pylist() for c in (key, "doc_id", "th", "start", "offset", "context"))):
+                if len(rows) >= CHUNK and r[0] != rows[-1][0]:
+                    yield done(rows, known)
+                    rows, known = [], []
+                (rows if r[5] is not None else known).append(r)
+        if rows or known:
+            yield done(rows, known)
+
+    return arrow_step(members, scan, "doc_id long, th long, start long, end long")
+
+
+def halves(row: tuple, whole: bool, min_bytes: int) -> list[tuple]:
+    """The members that a member (h, a, b, offset, context) becomes in the halves of its group, or in the group itself.
+
+    Its strings start a to b bytes before the anchor, as far as it has them. Returned: a, b, the bytes that all of these strings share, how far before
+    the anchor the member's own first one starts, the member's bytes, and how many bytes it has lost in front.
+    """
+    _, a, b, offset, context = row
+    middle, out = (a + b) // 2, []
+    for x, y in ((a, b),) if whole else ((a, middle), (middle + 1, b)):
+        low, high = max(x, offset + min_bytes - len(context)), min(y, offset)
+        if low <= high:
+            out.append((x, y, context[offset - x : offset + min_bytes - y], high, context[offset - high : offset + min_bytes - low], offset - high))
+    return out
+
+
+def _split(members: DataFrame, min_bytes: int) -> list[DataFrame]:
+    """The repeats (doc_id, th, start, end) of MEMBERS whose seeds are hot."""
+
+    def split(whole: bool):
+        def run(batches):
+            schema = pa.schema([("key", pa.binary()), ("same", pa.binary()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary())])
+            digest = lambda *x: hashlib.blake2b(b"".join(x), digest_size=16).digest()
+            number = lambda *x: np.array(x, np.int64).tobytes()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    out = []
+                    for h, a, b, i, th, start, offset, context in zip(*(batch.column(c).slice(at, 4096).to_pylist() for c in ("h", "a", "b", "doc_id", "th", "start", "offset", "context"))):
+                        for x, y, core, high, own, lost in halves((h, a, b, offset, context), whole, min_bytes):
+                            out.append((digest(number(h, x, y), core), digest(number(h, x, y, high), own), h, x, y, i, th, start + lost, high, own))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(schema), schema)], schema=schema)
+
+        return run
+
+    got = [written(members.filter("context IS NULL").select("doc_id", "th", "start", (F.col("start") + F.col("offset")).alias("end")), "repeat-spans")]
+    now = members.filter("context IS NOT NULL").withColumns({"a": F.lit(0), "b": F.lit(min_bytes - SEED)})
+    parents: list[DataFrame] = []
+    while True:
+        kind = "key binary, same binary, h long, a int, b int, doc_id long, th long, start long, offset int, context binary"
+        made = written(arrow_step(now.select("h", "a", "b", "doc_id", "th", "start", "offset", "context"), split(not parents), kind), "repeat-halves")
+        # written, so that Spark can split the joins where a group is hot
+        sizes = written(made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-sizes")
+        place = F.struct("doc_id", "th", "start")
+        same = written(made.groupBy("same").agg(F.count(F.lit(1)).alias("s"), F.min(place).alias("first")).filter("s > 1").drop("s"), "repeat-same")
+        placed = made.join(sizes, "key")
+        got.append(written(_scanned(placed.filter(F.col("n") <= GROUP), "key", min_bytes), "repeat-spans"))
+        placed = placed.filter(F.col("n") > GROUP).join(same, "same", "left")
+        left = placed.withColumn("again", F.col("first").isNotNull()).withColumn("on", F.coalesce(F.col("first") == place, F.lit(True)) & (F.col("a") < F.col("b")))
+        left = written(left.drop("key", "same", "n", "first"), "repeat-left")
+        got.append(written(left.filter("again").select("doc_id", "th", "start", (F.col("start") + F.length("context")).alias("end")), "repeat-spans"))
+        discard(made, sizes, same, *parents)
+        parents = [left]
+        now = left.filter("on")
+        if now.isEmpty():
+            discard(left)
+            return got
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,8 +377,6 @@ def _each(batches):
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """All rows and columns of docs, the repeated bytes taken out of the text; characters of which a part went go as well."""
     rows, spans = repeated_spans(docs, min_bytes)
-    spans = written(spans, "repeat-merged")
-    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
     def strip(batches):
         for b, k, data, runs in _each(batches):
@@ -292,9 +384,12 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
     cut = arrow_step(spans.join(_texts(docs), ["doc_id", "th"]).select("doc_id", "th", "spans", "data"), strip, "doc_id long, th long, cut string").dropDuplicates(["doc_id", "th"])
     whole = rows.filter("whole").select("doc_id", "th", F.lit("").alias("cut")).distinct()
-    changed = cut.unionByName(whole).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"), F.col("cut").alias("__cut"))
-    joined = keyed.join(changed, (F.coalesce(keyed["doc_id"], F.lit(NO_ID)) == changed["__id"]) & (keyed["__th"] == changed["__h"]), "left")
-    return joined.withColumn("text", F.coalesce("__cut", "text")).select(*docs.columns)
+    columns = unused(docs, "id", "hash", "cut")
+    changed = cut.unionByName(whole).toDF(*columns)
+    i, h, c = map(F.col, columns)
+    same = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == i) & (F.xxhash64(F.coalesce(docs["text"], F.lit("")).cast("binary")) == h)
+    joined = docs.join(changed, same, "left")
+    return joined.withColumn("text", F.coalesce(c, "text")).select(*docs.columns)
 
 
 def digests(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

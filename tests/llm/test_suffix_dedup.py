@@ -60,7 +60,7 @@ def test_intervals_of_a_small_array():
 
 @pytest.mark.parametrize("group", [4096, 3])
 def test_whole_tables(spark, documents, nothing, group, monkeypatch):
-    monkeypatch.setattr(S, "GROUP", group)  # 3: seeds are salted, and parts exchange digests
+    monkeypatch.setattr(S, "GROUP", group)  # 3: groups are split by further bytes
     rows = documents.select("doc_id", "text").collect()
     texts = [(r["text"] or "").encode() for r in rows]
     want = sorted((r["doc_id"], len(t), sum(b - a for a, b in w), len(w), hashlib.sha256(S.kept(t, w)).hexdigest()) for r, t, w in zip(rows, texts, brute(texts, 200)))
@@ -78,6 +78,50 @@ def test_texts_without_repeats(spark, documents):
         S.repeated_spans(documents, 20)
 
 
+def test_halves_keep_equal_strings_together():
+    rng = np.random.default_rng(3)
+    m = 80
+    base = bytes(rng.integers(97, 99, 300).astype(np.uint8))
+    contexts = []
+    for _ in range(40):
+        before, after = (int(x) for x in rng.integers(0, m - S.SEED + 1, 2))
+        c = bytearray(base[150 - before : 150 + S.SEED + after])
+        c[: before // 3] = rng.integers(97, 99, before // 3).astype(np.uint8).tobytes()
+        if len(c) >= m:
+            contexts.append((before, bytes(c)))
+    nodes = [[(0, 0, m - S.SEED, o, c)] for o, c in contexts]
+    want = [{(o - k, c[k : k + m]) for k in range(len(c) - m + 1)} for o, c in contexts]
+    for depth in range(9):
+        split = [[(0, x, y, high, own) for row in rows for x, y, core, high, own, lost in S.halves(row, False, m)] for rows in nodes]
+        assert [{(o - k, c[k : k + m]) for _, _, _, o, c in rows for k in range(len(c) - m + 1)} for rows in split] == want
+        for rows in nodes:
+            for row in rows:
+                for x, y, core, high, own, lost in S.halves(row, False, m):
+                    assert len(core) == m - (y - x) and core in own and row[4][lost : lost + len(own)] == own
+        nodes = split
+    assert all(x == y for rows in nodes for _, x, y, _, _ in rows)
+
+
+@pytest.mark.parametrize("names", [["__id", "id"], ["hash", "CUT"], ["_id", "th"]])
+def test_columns_of_any_name_stay(spark, names):
+    long = "word " * 100
+    docs = spark.createDataFrame([(1, long, 5, "x"), (2, long + "b", 6, "y"), (3, None, 7, None)], "doc_id long, text string, a long, b string").withColumnsRenamed(dict(zip("ab", names)))
+    got = sorted(map(tuple, S.without_repeats(docs).collect()), key=lambda r: r[0])
+    assert got == [(1, "", 5, "x"), (2, "b", 6, "y"), (3, None, 7, None)]
+
+
+def test_common_passages_in_other_surroundings(spark, monkeypatch):
+    """Groups above the limit that share a passage, whose surroundings partly agree, and long runs of one word pair."""
+    monkeypatch.setattr(S, "GROUP", 4)
+    passage = prose(1, 50)[:260]
+    rows = [(i, f"{prose(100 + i, 20)[: 90 + i]} {passage} {prose(500 + i // 2, 30)}") for i in range(24)]
+    rows += [(50 + i, "ta tu " * (60 + 7 * i) + prose(i, 9)) for i in range(9)] + [(70, passage[5:215]), (71, passage[:199])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = [t.encode() for _, t in rows]
+    want = sorted((d, len(t), sum(b - a for a, b in w), len(w), hashlib.sha256(S.kept(t, w)).hexdigest()) for (d, _), t, w in zip(rows, texts, brute(texts, 200)))
+    assert sorted(map(tuple, S.digests(docs).collect())) == want
+
+
 def test_rows_without_an_id(spark):
     long = "word " * 100
     docs = spark.createDataFrame([(None, long + "a"), (None, long + "b"), (1, "short")], "doc_id long, text string")
