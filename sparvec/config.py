@@ -47,7 +47,3 @@ class IndexConfig:
     def bytes_per_vector(self) -> int:
         """Codes and half-precision scales, both passes."""
         return (self.code_bytes + 2) * (2 if self.residual else 1)
-
-    def same_space(self, other: "IndexConfig") -> bool:
-        """Whether scores of the two are comparable."""
-        return (self.working_dim, self.seed) == (other.working_dim, other.seed)

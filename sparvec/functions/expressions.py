@@ -5,8 +5,6 @@ Division and square root return doubles in Spark; a double result of float opera
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,7 +143,3 @@ def score(config: IndexConfig, q: Column, prefix: str = "") -> Column:
     if config.residual:
         s = s + raw_score(F.col(prefix + "codes2"), q, 4, config.padded) * F.col(prefix + "scale2")
     return s
-
-
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns)

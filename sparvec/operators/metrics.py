@@ -17,13 +17,6 @@ def recall(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("one").alias("recall_at_1"), F.avg("k").alias("recall_at_k"))
 
 
-def score_error(hits: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: the largest and mean distance of the scores of (qid, slot) from the true ones."""
-    both = hits.select("qid", "slot", F.col("score").alias("s")).join(truth.select("qid", "slot", F.col("score").alias("t")), ["qid", "slot"])
-    gap = F.abs(F.col("s").cast("double") - F.col("t").cast("double"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_error"), F.avg(gap).alias("mean_error"))
-
-
 def reconstruction_error(encoded: DataFrame, config: IndexConfig) -> DataFrame:
     """One row: the mean squared distance of decoded from rotated coordinates. encoded has rotated, codes, scale (and the second pass)."""
     width = float(config.padded) ** 0.5

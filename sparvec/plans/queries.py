@@ -5,6 +5,7 @@ Slots are vec_id; queries are the rows whose vec_id is divisible by 20, against
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable
 
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions import expressions as E
-from ..functions import kernels
+from ..functions import kernels, registered
 from ..functions.constants import MAGIC, VERSIONS
 from ..operators import keyed, metrics, search
 from ..operators.encode import encode, encode_in_sql, matrix
 from ..operators.workers import reach
 from ..sources import format as fmt
+from ..sources import raw
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,19 +68,16 @@ def hits(df: DataFrame) -> DataFrame:
 
 
 HITS = "SELECT qid, rank, vec_id, CAST(score AS DOUBLE) AS score FROM hits"
+PAIRS = "SELECT qid, vec_id, CAST(score AS DOUBLE) AS score FROM sc"
 
 # exact search
 
-add(
-    "exact_cosine_topk",
-    lambda s, d: hits(search.exact_search(vectors(s, d).withColumnRenamed("vec_id", "slot"), asked(s, d, "vec_id = 0"), DIM, 10)),
-    f"WITH {S.truth('vec_id = 0', 10, name='hits')} {HITS}",
-)
-add(
-    "exact_topk_multi",
-    lambda s, d: hits(search.exact_search(vectors(s, d).withColumnRenamed("vec_id", "slot"), asked(s, d), DIM, 10)),
-    f"WITH {S.truth(ASKED, 10, name='hits')} {HITS}",
-)
+for name, k, dot in (("exact_cosine_topk", 3, False), ("exact_topk_multi", 10, False), ("exact_dot_topk", 10, True)):
+    add(
+        name,
+        lambda s, d, k=k, dot=dot: hits(search.exact_search(vectors(s, d).withColumnRenamed("vec_id", "slot"), asked(s, d), DIM, k, dot=dot)),
+        f"WITH {S.truth(ASKED, k, name='hits', dot_product=dot)} {HITS}",
+    )
 
 
 def pairwise_label_cosine(s: SparkSession, d: str) -> DataFrame:
@@ -148,7 +147,7 @@ for b, config in BITS.items():
     add(
         f"score_all_{b}bit",
         lambda s, d, c=config: score_all(s, d, c),
-        f"WITH {S.scored(config, 'vec_id = 0')} SELECT vec_id, CAST(score AS DOUBLE) AS score FROM sc",
+        f"WITH {S.scored(config, ASKED)} {PAIRS}",
     )
 
 
@@ -169,10 +168,8 @@ add(
 
 
 def score_all(s: SparkSession, d: str, c: IndexConfig) -> DataFrame:
-    """Every row against the query of vec_id 0, in expressions that Catalyst sees."""
-    q = E.rotated(vectors(s, d).filter("vec_id = 0").select("embedding"), c)
-    q = q.withColumn("rn", E.norm(F.col("rotated"))).select(F.transform("rotated", lambda x: E.f32(x / F.col("rn"))).alias("q"))
-    return encode_in_sql(vectors(s, d), c).crossJoin(F.broadcast(q)).select("vec_id", E.score(c, F.col("q")).cast("double").alias("score"))
+    """Every row against every query."""
+    return search.score_all(slots(s, d, c), asked(s, d), c).select("qid", F.col("slot").alias("vec_id"), double("score"))
 
 
 add(
@@ -181,7 +178,42 @@ add(
     f"WITH {S.encoded(RESIDUAL)} SELECT vec_id, list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes,"
     " list_aggregate(list_transform(codes2, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes2, CAST(scale AS DOUBLE) AS scale, CAST(scale2 AS DOUBLE) AS scale2 FROM enc",
 )
-add("score_residual", lambda s, d: score_all(s, d, RESIDUAL), f"WITH {S.scored(RESIDUAL, 'vec_id = 0')} SELECT vec_id, CAST(score AS DOUBLE) AS score FROM sc")
+add("score_residual", lambda s, d: score_all(s, d, RESIDUAL), f"WITH {S.scored(RESIDUAL, ASKED)} {PAIRS}")
+
+
+def score_in_sql(s: SparkSession, d: str) -> DataFrame:
+    """The scores of pairs (a row and the query of the twentieth before it), in expressions that Catalyst sees."""
+    c = RESIDUAL
+    q = E.rotated(vectors(s, d).filter(ASKED).select(F.col("vec_id").alias("qid"), "embedding"), c)
+    q = q.withColumn("rn", E.norm(F.col("rotated"))).select("qid", F.transform("rotated", lambda x: E.f32(x / F.col("rn"))).alias("q"))
+    own = encode_in_sql(vectors(s, d), c).withColumn("qid", F.col("vec_id") - F.col("vec_id") % 20)
+    return own.join(q, "qid").select("vec_id", E.score(c, F.col("q")).cast("double").alias("score"))
+
+
+add("score_in_sql", score_in_sql, f"WITH {S.scored(RESIDUAL, ASKED)} SELECT vec_id, CAST(score AS DOUBLE) AS score FROM sc WHERE qid = vec_id - vec_id % 20")
+
+
+def functions_in_sql(s: SparkSession, d: str) -> DataFrame:
+    """The same, the exact cosine and the distance of signatures through the registered functions."""
+    registered.register(s, BITS[4])
+    named = {"x": vectors(s, d), "y": vectors(s, d).filter(ASKED)}
+    return s.sql(
+        "WITH e AS (SELECT vec_id, embedding, vq_encode(embedding) AS c, vq_rotate(embedding) AS r FROM {x}),"
+        " q AS (SELECT vec_id AS qid, embedding AS qe, vq_prepare(embedding) AS q, vq_signature(vq_quantize(vq_rotate(embedding))) AS qs FROM {y})"
+        " SELECT vec_id, CAST(vq_score(c, q) AS DOUBLE) AS score, CAST(vq_cosine(embedding, qe) AS DOUBLE) AS cosine, vq_l1_2bit(vq_signature(c.codes), qs) AS dist,"
+        " CAST(r[3] AS DOUBLE) AS third FROM e JOIN q ON qid = vec_id - vec_id % 20",
+        **named,
+    )
+
+
+add(
+    "functions_in_sql",
+    functions_in_sql,
+    f"WITH {S.scored(BITS[4], ASKED)}, own AS (SELECT vec_id AS qid, embedding AS qe, codes AS qc FROM enc)"
+    f" SELECT sc.vec_id, CAST(score AS DOUBLE) AS score, CAST({S.cosine('embedding', 'qe', DIM)} AS DOUBLE) AS cosine,"
+    f" CAST(list_sum(list_transform(range({DIM}), lambda i: abs(codes[i + 1] // 4 - qc[i + 1] // 4))) AS BIGINT) AS dist, CAST(w[4] AS DOUBLE) AS third"
+    " FROM sc JOIN enc ON enc.vec_id = sc.vec_id JOIN own ON own.qid = sc.qid WHERE sc.qid = sc.vec_id - sc.vec_id % 20",
+)
 
 # search
 
@@ -212,24 +244,59 @@ add(
     lambda s, d: encode_in_sql(vectors(s, d), BITS[4]).select("vec_id", E.signature(F.col("codes")).alias("sig")).select("vec_id", joined("sig")),
     f"WITH {S.encoded(BITS[4])} SELECT vec_id, list_aggregate(list_transform(codes, lambda x: CAST(x // 4 AS VARCHAR)), 'string_agg', ',') AS sig FROM enc",
 )
-NEAR = (
-    f"qs AS (SELECT *, list_transform({S.quantized('list_transform(q, lambda x: CAST(x * rn AS FLOAT))', 4)}, lambda k: k // 4) AS sig FROM qry),"
-    f" dist AS (SELECT qid, vec_id, label, codes, scale, q, list_sum(list_transform(range({DIM}), lambda i: abs(sig[i + 1] - codes[i + 1] // 4))) AS dist FROM enc, qs),"
-    " near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS near FROM dist) WHERE near <= {r})"
-)
+
+
+def near(c: IndexConfig, r: int, live: str = "true", extra: str = "") -> str:
+    """CTEs up to ``near``: the r nearest live rows of each query by two-bit codes."""
+    return (
+        f"{S.encoded(c)},\n{S.prepared(c, ASKED)},\n"
+        f"qs AS (SELECT *, list_transform({S.quantized('list_transform(q, lambda x: CAST(x * rn AS FLOAT))', 4)}, lambda k: k // 4) AS sig FROM qry),"
+        f" dist AS (SELECT enc.*, qid, q, list_sum(list_transform(range({c.padded}), lambda i: abs(sig[i + 1] - codes[i + 1] // 4))) AS dist{extra} FROM enc, qs WHERE {live}),"
+        f" near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS near FROM dist) WHERE near <= {r})"
+    )
+
+
+def cascade_sql(c: IndexConfig, r: int, live: str = "true") -> str:
+    return f"WITH {near(c, r, live)}, sc AS (SELECT qid, vec_id, {S.score(c)} AS score FROM near),\n{S.ranked()} {HITS}"
+
+
 add(
     "cascade_prefilter",
     lambda s, d: search.prefilter(slots(s, d, BITS[4]), asked(s, d), BITS[4], 50).select("qid", F.col("near").cast("long").alias("near"), F.col("slot").alias("vec_id"), "dist"),
-    f"WITH {S.encoded(BITS[4])},\n{S.prepared(BITS[4], ASKED)},\n{NEAR.format(r=50)} SELECT qid, near, vec_id, CAST(dist AS BIGINT) AS dist FROM near",
+    f"WITH {near(BITS[4], 50)} SELECT qid, near, vec_id, CAST(dist AS BIGINT) AS dist FROM near",
+)
+WD48_4 = IndexConfig(DIM, working_dim=48, bits=4)
+for name, config, r in (("cascade_search", BITS[4], 50), ("cascade_r10", BITS[4], 10), ("cascade_r100", BITS[4], 100), ("cascade_residual", RESIDUAL, 50), ("cascade_wd48", WD48_4, 50)):
+    add(name, lambda s, d, c=config, r=r: hits(search.search_cascade(slots(s, d, c), asked(s, d), c, 10, r)), cascade_sql(config, r))
+add(
+    "cascade_stored_signatures",
+    lambda s, d: hits(search.search_cascade(search.with_signatures(slots(s, d, BITS[4])), asked(s, d), BITS[4], 10, 50)),
+    cascade_sql(BITS[4], 50),
 )
 add(
-    "cascade_search",
-    lambda s, d: hits(search.search_cascade(slots(s, d, BITS[4]), asked(s, d), BITS[4], 10, 50)),
-    f"WITH {S.encoded(BITS[4])},\n{S.prepared(BITS[4], ASKED)},\n{NEAR.format(r=50)}, sc AS (SELECT qid, vec_id, {S.score(BITS[4])} AS score FROM near),\n{S.ranked()} {HITS}",
+    "cascade_skips_tombstones",
+    lambda s, d: hits(search.search_cascade(slots(s, d, BITS[4]).withColumn("alive", F.col("slot") % 7 != 0), asked(s, d), BITS[4], 10, 50)),
+    cascade_sql(BITS[4], 50, "vec_id % 7 <> 0"),
+)
+
+
+def cascade_after_compact(s: SparkSession, d: str) -> DataFrame:
+    """The same hits by new slots: the rows without every seventh, numbered anew."""
+    table = keyed.table_of(encode(vectors(s, d).select("vec_id", "embedding"), BITS[4]), "vec_id", F.col("slot"))
+    table = keyed.compact(keyed.remove_keyed(table, vectors(s, d).filter(GONE).select(F.col("vec_id").alias("key"))))
+    return hits(search.search_cascade(table, asked(s, d), BITS[4], 10, 50))
+
+
+add(
+    "cascade_after_compact",
+    cascade_after_compact,
+    f"WITH {near(BITS[4], 50, 'vec_id % 7 <> 0')}, sc AS (SELECT qid, vec_id, {S.score(BITS[4])} AS score FROM near),\n{S.ranked()},"
+    " anew AS (SELECT vec_id AS old, row_number() OVER (ORDER BY vec_id) - 1 AS slot FROM embeddings WHERE vec_id % 7 <> 0)"
+    " SELECT qid, rank, slot AS vec_id, CAST(score AS DOUBLE) AS score FROM hits JOIN anew ON old = vec_id",
 )
 add(
     "cascade_full_r",
-    lambda s, d: hits(search.search_cascade(slots(s, d, BITS[4]), asked(s, d), BITS[4], 10, 1_000_000)),
+    lambda s, d: hits(search.search_cascade(slots(s, d, BITS[4]), asked(s, d), BITS[4], 10, vectors(s, d).count())),
     f"WITH {S.scored(BITS[4], ASKED)},\n{S.ranked()} {HITS}",
 )
 
@@ -348,9 +415,58 @@ add(
     " SELECT count(*) AS n, CAST(count(*) FILTER (WHERE a.vec_id <> b.vec_id) AS BIGINT) AS n_other, max(abs(CAST(a.score AS DOUBLE) - CAST(b.score AS DOUBLE))) FILTER (WHERE a.vec_id = b.vec_id) AS max_delta"
     " FROM ha a JOIN hb b USING (qid, rank)",
 )
+FILES = {"1.3": BITS[4], "1.4": RESIDUAL, "1.5": BITS[5], "1.5, 6 bits": BITS[6], "1.5, working_dim 48": WD48}
+
+
+def serialize_bytes(s: SparkSession, d: str) -> DataFrame:
+    """Size and digest of the files of 200 rows each, in all versions that are written."""
+    made = [blobs(s, d, c, 200).select(F.lit(m).alias("mode"), "shard", F.length("blob").cast("long").alias("n_bytes"), F.sha2("blob", 256).alias("sha256")) for m, c in FILES.items()]
+    return functools.reduce(DataFrame.unionByName, made)
+
+
+add("serialize_bytes", serialize_bytes, " UNION ALL ".join(S.serialized(c, VERSIONS[m[:3]], 200, m) for m, c in FILES.items()))
+
+
+def replaced_blobs(s: SparkSession, d: str) -> DataFrame:
+    """A table of shards of which every second one is replaced, and one added."""
+    new = blobs(s, d, BITS[6], 200).filter("shard % 2 = 0")
+    more = blobs(s, d, BITS[4], 1 << 40).withColumn("shard", F.lit(-1).cast("long"))
+    table = fmt.upsert_blobs(blobs(s, d, BITS[5], 200), new.unionByName(more))
+    return fmt.from_blobs(table).select("shard", F.col("key").cast("long").alias("key"), joined("codes"), double("scale"))
+
+
+TEXT = "list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',')"
 add(
-    "serialize_bytes",
-    lambda s, d: blobs(s, d, BITS[5], 200).select("shard", F.length("blob").cast("long").alias("n_bytes"), F.sha2("blob", 256).alias("sha256")),
+    "replaced_blobs",
+    replaced_blobs,
+    f"WITH {S.encoded(BITS[4], 'e4')},\n{S.encoded(BITS[5], 'e5')},\n{S.encoded(BITS[6], 'e6')}"
+    f" SELECT vec_id // 200 AS shard, vec_id AS key, {TEXT} AS codes, CAST({S.half('scale')} AS DOUBLE) AS scale FROM e5 WHERE vec_id // 200 % 2 <> 0"
+    f" UNION ALL SELECT vec_id // 200, vec_id, {TEXT}, CAST({S.half('scale')} AS DOUBLE) FROM e6 WHERE vec_id // 200 % 2 = 0"
+    f" UNION ALL SELECT -1, vec_id, {TEXT}, CAST({S.half('scale')} AS DOUBLE) FROM e4",
+)
+
+
+def raw_matrix(s: SparkSession, d: str) -> DataFrame:
+    """Vectors as raw files of 150 rows, and read back."""
+    files = raw.to_f32(vectors(s, d).select(F.floor(F.col("vec_id") / 150).cast("long").alias("path"), F.col("vec_id").alias("slot"), "embedding"))
+    return raw.parse_f32(files, DIM).select(F.col("path").alias("file"), "slot", F.posexplode("embedding").alias("pos", "x")).select("file", "slot", F.col("pos").cast("long").alias("pos"), double("x"))
+
+
+add(
+    "raw_matrix",
+    raw_matrix,
+    "WITH n AS (SELECT *, vec_id // 150 AS file, row_number() OVER (PARTITION BY vec_id // 150 ORDER BY vec_id) - 1 AS slot FROM embeddings)"
+    " SELECT file, slot, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM n",
+)
+add(
+    "metadata",
+    lambda s, d: raw.parse_meta(
+        vectors(s, d).agg(F.count(F.lit(1)).alias("n_base"), F.count_if(F.expr(ASKED)).alias("n_query"), F.max(F.size("embedding")).alias("dim")).select(
+            F.to_json(F.struct("*", F.lit(42).alias("base_seed"), F.lit(1 << 40).alias("query_seed"))).alias("value")
+        )
+    ),
+    f"SELECT CAST(count(*) AS INTEGER) AS n_base, CAST(count(*) FILTER (WHERE {ASKED}) AS INTEGER) AS n_query, CAST(max(len(embedding)) AS INTEGER) AS dim,"
+    f" CAST(42 AS BIGINT) AS base_seed, CAST({1 << 40} AS BIGINT) AS query_seed FROM embeddings",
 )
 add(
     "serialized_size",
@@ -365,6 +481,22 @@ for name, config in (("parse_bytes", BITS[5]), ("parse_bytes_residual", RESIDUAL
         f"WITH {S.encoded(config)} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, vec_id AS key, list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes,"
         f" CAST({S.half('scale')} AS DOUBLE) AS scale{more} FROM enc",
     )
+
+
+def view_and_load(s: SparkSession, d: str) -> DataFrame:
+    """Hits of the keyless reader beside those of the full one; their scores must have the same bits."""
+    a, b = (hits(search.search(fmt.from_blobs(blobs(s, d, RESIDUAL), view=v), asked(s, d), RESIDUAL, 10)) for v in (True, False))
+    both = a.withColumnRenamed("score", "viewed").join(b.withColumnRenamed("score", "loaded"), ["qid", "rank", "vec_id"], "full")
+    return both.withColumn("same", F.coalesce(F.col("viewed") == F.col("loaded"), F.lit(False)))
+
+
+add(
+    "view_and_load",
+    view_and_load,
+    f"WITH {S.encoded(RESIDUAL)},\n{S.prepared(RESIDUAL, ASKED)},\nhalved AS (SELECT vec_id, codes, codes2, {S.half('scale')} AS scale, {S.half('scale2')} AS scale2 FROM enc),"
+    f" sc AS (SELECT qid, vec_id, {S.score(RESIDUAL)} AS score FROM halved, qry),\n{S.ranked()}"
+    " SELECT qid, rank, vec_id, CAST(score AS DOUBLE) AS viewed, CAST(score AS DOUBLE) AS loaded, true AS same FROM hits",
+)
 add(
     "view_search",
     lambda s, d: hits(search.search(fmt.from_blobs(blobs(s, d, BITS[5]), view=True), asked(s, d), BITS[5], 10)),
@@ -434,8 +566,7 @@ add(
 def score_error(s: SparkSession, d: str) -> DataFrame:
     out = None
     for name, c in WIDTHS.items():
-        every = 1 << 30
-        one = metrics.score_error(search.search(slots(s, d, c), asked(s, d), c, every), truth(s, d, every))
+        one = search.score_errors(vectors(s, d), asked(s, d), c)
         one = one.select(F.lit(name).alias("mode"), "n", "max_error", F.round("mean_error", 9).alias("mean_error"))
         out = one if out is None else out.unionByName(one)
     return out

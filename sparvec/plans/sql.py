@@ -116,6 +116,38 @@ def half(x: str) -> str:
     return f"CAST(round_even(CAST({x} AS DOUBLE) * {e}, 0) / {e} AS FLOAT)"
 
 
+def little(x: str, n: int) -> str:
+    """A number as n bytes in hexadecimal, the lowest first."""
+    return f"array_to_string(list_transform(range({n}), lambda j: printf('%02X', (CAST({x} AS BIGINT) >> (8 * j)) & 255)), '')"
+
+
+def half_bits(x: str) -> str:
+    """The bits of half(x), for normal positive values."""
+    e = f"CAST(floor(log2(CAST({x} AS DOUBLE))) AS BIGINT)"
+    return f"(({e} + 14) * 1024 + CAST(round_even(CAST({x} AS DOUBLE) * pow(2, 10 - {e}), 0) AS BIGINT))"
+
+
+def packed(codes: str, bits: int, p: int) -> str:
+    """Codes in hexadecimal, the lowest bit first: eight codes fill as many bytes as a code has bits."""
+    group = f"list_sum(list_transform(range(8), lambda i: CAST({codes}[8 * g + i + 1] AS BIGINT) << ({bits} * i)))"
+    return f"array_to_string(list_transform(range({p // 8}), lambda g: {little(group, bits)}), '')"
+
+
+def serialized(c: IndexConfig, version: int, rows: int, mode: str) -> str:
+    """mode, shard, n_bytes and sha256 of the files of all shards of so many rows, whose keys are their vec_ids."""
+    passes = ("", "2") if c.residual else ("",)
+    planes = ", ".join(f"string_agg({little(half_bits('scale' + p), 2)}, '' ORDER BY i) AS s{p}, string_agg({packed('codes' + p, c.bits, c.padded)}, '' ORDER BY i) AS c{p}" for p in passes)
+    header = " || ".join([f"'{b'VECQ'.hex().upper()}'", little(str(version), 2), little("0" if c.working_dim == c.dim else str(c.working_dim), 2), little(str(c.dim), 4), little(str(c.seed), 8), little("m", 4)])
+    width = f" || '{c.bits:02X}'" if version == 261 else ""
+    body = " || ".join(f"s{p} || c{p}" for p in passes)
+    return (
+        f"SELECT * FROM (WITH {encoded(c)}, n AS (SELECT *, vec_id // {rows} AS shard, row_number() OVER (PARTITION BY vec_id // {rows} ORDER BY vec_id) - 1 AS i FROM enc),"
+        f" parts AS (SELECT shard, count(*) AS m, {planes}, string_agg({little('i', 4)} || {little('vec_id', 8)}, '' ORDER BY i) AS k FROM n GROUP BY shard),"
+        f" files AS (SELECT shard, {header}{width} || {body} || {little('m', 4)} || k AS x FROM parts)"
+        f" SELECT '{mode}' AS mode, shard, CAST(length(x) // 2 AS BIGINT) AS n_bytes, sha256(unhex(x)) AS sha256 FROM files)"
+    )
+
+
 def scored(c: IndexConfig, where: str, scale: str = "scale", live: str = "true", name: str = "sc") -> str:
     """CTEs up to ``name`` (qid, vec_id, label, score)."""
     return f"{encoded(c)},\n{prepared(c, where)},\n{name} AS MATERIALIZED (SELECT qid, qlabel, vec_id, label, {score(c, scale)} AS score FROM enc, qry WHERE {live})"
@@ -125,8 +157,9 @@ def ranked(source: str = "sc", k: int = 10, name: str = "hits") -> str:
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM {source}) WHERE rank <= {k})"
 
 
-def truth(where: str, k: int, dim: int = 64, name: str = "truth") -> str:
+def truth(where: str, k: int, dim: int = 64, name: str = "truth", dot_product: bool = False) -> str:
+    score = dot("embedding", "qe", dim) if dot_product else cosine("embedding", "qe", dim)
     return (
         f"tq AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE {where}),\n"
-        f"ts AS MATERIALIZED (SELECT qid, vec_id, {cosine('embedding', 'qe', dim)} AS score FROM embeddings, tq),\n" + ranked("ts", k, name)
+        f"ts AS MATERIALIZED (SELECT qid, vec_id, {score} AS score FROM embeddings, tq),\n" + ranked("ts", k, name)
     )

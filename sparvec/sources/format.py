@@ -11,7 +11,6 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from ..config import IndexConfig
 from ..functions import kernels
 from ..functions.constants import MAGIC, VERSIONS
 from ..operators.encode import lists, matrix
+from ..operators.search import decimals
 from ..operators.workers import reach
 
 SHARD_ROWS = 100_000
@@ -141,23 +141,23 @@ def to_blobs(slots: DataFrame, config: IndexConfig, shard_rows: int = SHARD_ROWS
     return made.select("shard", F.lit(config.dim).alias("dim"), F.lit(config.seed).cast("decimal(20,0)").alias("seed"), "blob")
 
 
-def from_blobs(blobs: DataFrame, padded: int | None = None, view: bool = False, blob: str = "blob", shard: str = "shard") -> DataFrame:
+def from_blobs(blobs: DataFrame, view: bool = False, blob: str = "blob", shard: str = "shard") -> DataFrame:
     """(shard, slot, key, codes, scale, codes2, scale2) of all blobs; slots are the dense places in a blob."""
     reach(blobs.sparkSession)
     schema = f"shard {dict(blobs.dtypes)[shard]}, slot long, key decimal(20,0), codes array<tinyint>, scale float, codes2 array<tinyint>, scale2 float"
 
     def read(batches):
-        from decimal import Decimal
-
         for b in batches:
             for name, data in zip(b.column(shard), b.column(blob).to_pylist()):
                 got = from_bytes(data, view)
                 n = len(got)
+                words, known, at = np.zeros(n, np.uint64), np.zeros(n, bool), np.array(list(got.keys), np.int64)
+                words[at], known[at] = np.array(list(got.keys.values()), np.uint64), True
                 for k in range(0, n, 4096):
                     part = {c: v[k : k + 4096] for c, v in got.rows.items()}
                     m = len(part["scale"])
-                    key = [Decimal(got.keys[i]) if i in got.keys else None for i in range(k, k + m)]
-                    out = [pa.array([name.as_py()] * m, b.column(shard).type), pa.array(range(k, k + m), pa.int64()), pa.array(key, pa.decimal128(20, 0)), lists(part["codes"].astype(np.int8), pa.int8()), pa.array(part["scale"])]
+                    key = decimals(words[k : k + m], known[k : k + m])
+                    out = [pa.array([name.as_py()] * m, b.column(shard).type), pa.array(range(k, k + m), pa.int64()), key, lists(part["codes"].astype(np.int8), pa.int8()), pa.array(part["scale"])]
                     if got.config.residual:
                         out += [lists(part["codes2"].astype(np.int8), pa.int8()), pa.array(part["scale2"])]
                     else:
@@ -189,8 +189,3 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, IndexConfig]:
 def upsert_blobs(table: DataFrame, new: DataFrame) -> DataFrame:
     """A blob table with the shards of new replaced or added."""
     return table.join(new.select("shard"), "shard", "left_anti").unionByName(new)
-
-
-def frame(shard: Shard) -> pd.DataFrame:
-    """A shard for inspection."""
-    return pd.DataFrame({"slot": range(len(shard)), "key": [shard.keys.get(i) for i in range(len(shard))], "scale": shard.rows["scale"]})

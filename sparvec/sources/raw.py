@@ -15,26 +15,46 @@ META = "n_base int, n_query int, dim int, base_seed long, query_seed long"
 
 def load_f32(spark: SparkSession, path: str, dim: int, n: int | None = None) -> DataFrame:
     """(path, slot, embedding) of little-endian float32 row-major files; n, where given, is each file's number of rows."""
-    reach(spark)
+    return parse_f32(spark.read.format("binaryFile").load(path).select("path", "content"), dim, n)
+
+
+def parse_f32(files: DataFrame, dim: int, n: int | None = None) -> DataFrame:
+    """The same of files (path, content) as a table; the path may be of any kind."""
+    reach(files.sparkSession)
 
     def read(batches):
         for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+            for name, data in zip(b.column("path"), b.column("content").to_pylist()):
                 if len(data) % (4 * dim) or n is not None and len(data) != 4 * dim * n:
                     raise ValueError(f"{name} doesn't hold rows of {dim} floats" + (f", {n} of them" if n is not None else ""))
                 m = np.frombuffer(data, "<f4").reshape(-1, dim)
                 for k in range(0, len(m), 4096):
                     part = m[k : k + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(k, k + len(part)), pa.int64()), lists(part, pa.float32())], ["path", "slot", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part), b.column("path").type), pa.array(range(k, k + len(part)), pa.int64()), lists(part, pa.float32())], ["path", "slot", "embedding"])
+
+    return files.select("path", "content").mapInArrow(read, f"path {dict(files.dtypes)['path']}, slot long, embedding array<float>")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(read, "path string, slot long, embedding array<float>")
+def to_f32(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(path, content): the vectors (path, slot, vector) of each path as one such file, in the order of their slots."""
+
+    def write(part: pa.Table) -> pa.Table:
+        part = part.sort_by("slot").combine_chunks()
+        flat = part.column(vector).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"path": part.column("path").slice(0, 1), "content": pa.array([flat.astype("<f4").tobytes()], pa.binary())})
+
+    return vectors.select("path", "slot", vector).groupBy("path").applyInArrow(write, f"path {dict(vectors.dtypes)['path']}, content binary")
 
 
 def load_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(META).option("multiLine", True).json(path)
 
 
+def parse_meta(texts: DataFrame, column: str = "value") -> DataFrame:
+    """META of a column of JSON texts."""
+    return texts.select(F.from_json(column, META).alias("m")).select("m.*")
+
+
 def clustered(spark: SparkSession, n: int, dim: int, clusters: int, seed: int, spread: float) -> DataFrame:
     """(slot, embedding, label): unit vectors around seeded unit centres; made in the tasks, each row from its own seed."""
     reach(spark)
