@@ -5,32 +5,39 @@ largest likelihood under word counts. A multinomial naive Bayes classifier then
 learns from all URLs: those whose words hold one of the seed words count as bad, the others as good. Fixed rules for
 (host, path) come first, the longest that fits deciding.
 
-Word counts come from the parts of all paths and from fixed lists. Bounds: they are kept for the VOCABULARY most frequent words and the fixed lists, naive Bayes counts for BUCKETS hashed
-words, so what goes to the driver and into tasks doesn't grow. Counting covers every row and is pre-aggregated.
+Words are counted in the texts of all pages (where there is a column html), in all paths, and in host labels, there once for each further host that has the
+label: a name of one host is to be split, not a word. The fixed lists have a small share of the counts. A word has 2 to MAX_WORD letters.
+
+How it scales: each different part of a URL is split once. Its substrings are joined with the counts, which stay distributed, and a task gets a part with those
+of its substrings that are words. Different URLs get the words of their parts by a join, and pages the scores of their URLs. Only the naive Bayes counts
+of BUCKETS hashed words go to the driver and into tasks. Counting covers every row and is pre-aggregated.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, no words, and the class that the
-prior favours or, without learning rows, ``allow``; equal scores give ``allow``; repeated rows are judged alike; extra
-columns are ignored; an empty table gives an empty result.
+prior favours or, without learning rows, ``allow``; equal scores give ``allow``; of equal splits the one whose last word is longest wins; long parts and texts are
+read whole; repeated rows are judged alike; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_step, table
+from .common import arrow_step, discard, table, written
 
 #: (verdict, host, path), as the contract of the query gives them.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-VOCABULARY = 50_000
 BUCKETS = 1 << 14
 MAX_WORD = 24
 
+#: Each word of the fixed lists counts as this share of all.
+FIXED_SHARE = 1e-4
+#: What an unknown word costs beyond a word seen once, and for each of its letters.
+UNKNOWN, LETTER = math.log(10), 2.3
+
 #: Words whose presence marks a URL as bad while learning.
 SEEDS = (
     "adult", "bet", "bets", "betting", "bitcoin", "cam", "casino", "cheap", "crack", "cracked", "dating", "escort", "farm", "free",
@@ -47,7 +54,8 @@ COMMON = (
     "web", "wiki", "world", "www", "your",
 )
 
-PARTS = re.compile(r"[^\W\d_]+|\d+")
+PART = r"(\p{L}+|\p{Nd}+)"
+MARKUP = r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>"
 
 
 def host_of(url: Column) -> Column:
@@ -70,44 +78,21 @@ def rule_of() -> tuple[Column, Column]:
     return rule, verdict
 
 
-class Segmenter:
-    """Unigram Viterbi over word counts; unknown words cost more the longer they are."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
-        self.cost = {w: math.log(total / c) for w, c in counts.items() if len(w) > 1 and c > 0}
-        self.base = math.log(total * 10)
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    def split(self, name: str) -> tuple[str, ...]:
-        got = self.memo.get(name)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            got = self.memo[name] = self._split(name)
-        return got
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        n = len(name)
-        best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - MAX_WORD), end):
-                word = name[start:end]
-                cost = best[start] + self.cost.get(word, self.base + 2.3 * len(word))
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
-        out = []
-        while n:
-            out.append(name[back[n] : n])
-            n = back[n]
-        return tuple(reversed(out))
-
-    def words(self, host: str, path: str) -> list[str]:
-        out = []
-        for where, text in (("h", host), ("p", path)):
-            for part in PARTS.findall(text.lower()):
-                out += ["<num>"] if part[0].isdigit() else self.split(part)
-        return out
+def segmented(name: str, costs: dict[str, float], unknown: float) -> list[str]:
+    """The cheapest split of a name into words; costs are those of the words in it, and others cost unknown and LETTER a letter."""
+    n = len(name)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    for end in range(1, n + 1):
+        for start in range(max(0, end - MAX_WORD), end):
+            word = name[start:end]
+            cost = best[start] + (costs[word] if word in costs else unknown + LETTER * len(word))
+            if cost < best[end]:
+                best[end], back[end] = cost, start
+    out = []
+    while n:
+        out.append(name[back[n] : n])
+        n = back[n]
+    return out[::-1]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -115,15 +100,51 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
 
 
-def word_counts(urls: DataFrame) -> dict[str, int]:
-    """Counts of the parts of all paths, and the fixed lists. Host names don't count: what is to be split would be a word itself."""
-    paths = urls.select(F.explode(F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
-    top = paths.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    found = {r["w"]: int(r["n"]) for r in top.collect()}
-    rows = max(1, sum(found.values()) // 1000)
-    for w in (*COMMON, *SEEDS):
-        found[w] = found.get(w, 0) + rows
-    return found
+def parts_of(text: str):
+    return F.regexp_extract_all(F.lower(text), F.lit(PART), F.lit(1))
+
+
+def word_counts(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """(w, n) of all words; urls: the different hosts and paths with their rows."""
+    paths = urls.select(F.explode(parts_of("path")).alias("w"), "n")
+    labels = urls.select("host").distinct().select(F.explode(F.array_distinct(parts_of("host"))).alias("w")).groupBy("w").agg((F.count(F.lit(1)) - 1).alias("n"))
+    found = paths.unionByName(labels.filter("n > 0"))
+    if "html" in pages.columns:
+        texts = pages.select(F.explode(parts_of(F.regexp_replace("html", MARKUP, " "))).alias("w"))
+        found = found.unionByName(texts.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    return found.filter(f"length(w) BETWEEN 2 AND {MAX_WORD} AND w RLIKE '^\\\\p{{L}}'").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def splits(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, words): each different part of the hosts and paths, and its words; numbers are one word."""
+    spark = urls.sparkSession
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fixed = spark.createDataFrame([(w, max(1, int(total * FIXED_SHARE))) for w in sorted({*COMMON, *SEEDS})], "w string, n long")
+    total += fixed.agg(F.sum("n")).first()[0]
+    costs = counts.unionByName(fixed).groupBy("w").agg((F.log(F.lit(float(total))) - F.log(F.sum("n").cast("double"))).alias("cost"))
+    parts = urls.select(F.explode(F.concat(parts_of("host"), parts_of("path"))).alias("part")).distinct()
+    names = parts.filter("part RLIKE '^\\\\p{L}'").withColumn("id", F.md5("part"))
+    starts = names.filter("length(part) > 1").select("id", "part", F.explode(F.expr("sequence(1, length(part) - 1)")).alias("i"))
+    pieces = starts.select("id", F.expr(f"substr(part, i, {MAX_WORD})").alias("rest")).select("id", "rest", F.explode(F.expr("sequence(2, greatest(2, length(rest)))")).alias("k"))
+    pieces = pieces.select("id", F.expr("left(rest, k)").alias("w")).distinct()
+    known = pieces.join(costs, "w").groupBy("id").agg(F.collect_list(F.struct("w", "cost")).alias("known"))
+    unknown = math.log(total) + UNKNOWN
+
+    def cut(batches):
+        for b in batches:
+            words = [segmented(p, {x["w"]: x["cost"] for x in k or ()}, unknown) for p, k in zip(b.column("part").to_pylist(), b.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(words, pa.list_(pa.string()))], ["part", "words"])
+
+    split = arrow_step(names.join(known, "id", "left").select("part", "known"), cut, "part string, words array<string>")
+    return split.unionByName(parts.filter("part RLIKE '^\\\\p{Nd}'").select("part", F.array(F.lit("<num>")).alias("words")))
+
+
+def url_words(urls: DataFrame, split: DataFrame) -> DataFrame:
+    """urls with words, those of the host and the path in their order."""
+    each = urls.select("host", "path", F.posexplode(F.concat(parts_of("host"), parts_of("path"))).alias("pos", "part"))
+    found = each.join(split, "part").groupBy("host", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "words"))).alias("all"))
+    found = found.select("host", "path", F.flatten(F.col("all.words")).alias("words"))
+    return urls.join(found, ["host", "path"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def bucket(word: str) -> int:
@@ -142,44 +163,36 @@ class Bayes:
         return self.prior + sum(self.odds.get(bucket(w), self.none) for w in words)
 
 
-def fit(urls: DataFrame) -> tuple[Segmenter, Bayes]:
-    segmenter = Segmenter(word_counts(urls))
-    seeds = frozenset(SEEDS)
-
-    def run(batches):
-        for b in batches:
-            sums: dict[tuple[int, int], int] = {}
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
-                words = segmenter.words(h, p)
-                k = int(not seeds.isdisjoint(words))
-                for x in (-1, *map(bucket, words)):
-                    sums[x, k] = sums.get((x, k), 0) + 1
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["b", "k", "n"])
-
-    got = arrow_step(urls.select("host", "path"), run, "b int, k int, n long").groupBy("b", "k").agg(F.sum("n").alias("n")).collect()
-    rows = [(r["b"], r["k"], int(r["n"])) for r in got]
-    docs = tuple(sum(n for b, k, n in rows if b < 0 and k == c) for c in (0, 1))
-    return segmenter, Bayes([r for r in rows if r[0] >= 0], docs)
+def fit(words: DataFrame) -> Bayes:
+    """Learn from (words, n): a URL's words, and how many rows have it."""
+    seeds = F.array(*[F.lit(w) for w in SEEDS])
+    known = words.select("words", "n", F.arrays_overlap("words", seeds).cast("int").alias("k"))
+    docs = {r["k"]: int(r["n"]) for r in known.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    each = known.select(F.explode("words").alias("w"), "k", "n")
+    got = each.groupBy(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(BUCKETS)).cast("int").alias("b"), "k").agg(F.sum("n").alias("n")).collect()
+    return Bayes([(r["b"], r["k"], int(r["n"])) for r in got], (docs.get(0, 0), docs.get(1, 0)))
 
 
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds that it is bad), words."""
-    urls = parsed(pages)
-    segmenter, bayes = fit(urls)
-    rule, verdict = rule_of()
+    rows = parsed(pages)
+    urls = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-rows")
+    counts = written(word_counts(pages, urls), "url-counts")
+    split = written(splits(urls, counts), "url-splits")
+    words = written(url_words(urls, split), "url-words")
+    discard(counts, split, urls)
+    bayes = fit(words)
 
     def run(batches):
         for b in batches:
-            words = [segmenter.words(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            score = [bayes.score(w) for w in words]
-            mine = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column("verdict").to_pylist(), score)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(mine, pa.string()), pa.array(score, pa.float64()), pa.array([" ".join(w) for w in words], pa.string())],
-                ["page_id", "host", "path", "rule", "verdict", "score", "words"],
-            )
-
-    return arrow_step(urls.withColumns({"rule": rule, "verdict": verdict}), run, "page_id long, host string, path string, rule string, verdict string, score double, words string")
+            score = [bayes.score(w) for w in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("path"), pa.array(score, pa.float64()), b.column("words")], ["host", "path", "score", "words"])
+
+    scored = arrow_step(words.select("host", "path", "words"), run, "host string, path string, score double, words array<string>")
+    rule, verdict = rule_of()
+    judged = rows.join(scored, ["host", "path"], "left").withColumns({"rule": rule, "verdict": verdict})
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.array_join("words", " ").alias("words"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,16 +251,78 @@ def test_urls_and_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def cheapest(name: str, costs: dict, unknown: float) -> float:
+    """The least cost of any split, by trying all of them."""
+    whole = costs.get(name, unknown + url_filter.LETTER * len(name))
+    return min([whole, *(cheapest(name[:k], costs, unknown) + cheapest(name[k:], costs, unknown) for k in range(1, len(name)))])
+
+
+def test_splits_are_the_cheapest():
+    r = random.Random(9)
+    for _ in range(60):
+        costs = {"".join(r.choices("abc", k=r.randint(2, 4))): r.random() * 9 for _ in range(9)}
+        name = "".join(r.choices("abc", k=r.randint(1, 8)))
+        words = url_filter.segmented(name, costs, 5.0)
+        mine = sum(costs.get(w, 5.0 + url_filter.LETTER * len(w)) for w in words)
+        assert "".join(words) == name and mine == pytest.approx(cheapest(name, costs, 5.0))
+    assert len(url_filter.segmented("x" * 5000, {}, 5.0)) == -(-5000 // url_filter.MAX_WORD)
+
+
+def brute_urls(pages: list[tuple]) -> list[tuple]:
+    """host, path, words and score of each page (url, html)."""
+    import math
+
+    import regex
+
+    parts = lambda text: regex.findall(r"\p{L}+|\p{Nd}+", text.lower())
+    hosts = []
+    for url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = regex.split("[/?#]", rest)[0]
+        hosts.append(("".join(c.lower() if c.isascii() else c for c in host), regex.split("[?#]", rest[len(host) :])[0]))
+    counts: Counter = Counter()
+    for _, html in pages:
+        counts.update(parts(regex.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html or "")))
+    for _, path in hosts:
+        counts.update(parts(path))
+    labels = Counter(w for host in {h for h, _ in hosts} for w in set(parts(host)))
+    counts.update({w: n - 1 for w, n in labels.items()})
+    counts = Counter({w: n for w, n in counts.items() if n and 2 <= len(w) <= url_filter.MAX_WORD and not w[0].isdigit()})
+    fixed = {w: max(1, int(sum(counts.values()) * url_filter.FIXED_SHARE)) for w in {*url_filter.COMMON, *url_filter.SEEDS}}
+    counts.update(fixed)
+    total = sum(counts.values())
+    costs = {w: math.log(total) - math.log(n) for w, n in counts.items()}
+    words = [[w for part in parts(h) + parts(p) for w in (["<num>"] if part[0].isdigit() else url_filter.segmented(part, costs, math.log(total) + url_filter.UNKNOWN))] for h, p in hosts]
+    bad = [not set(url_filter.SEEDS).isdisjoint(w) for w in words]
+    per = [Counter(url_filter.bucket(x) for w, k in zip(words, bad) if k == c for x in w) for c in (False, True)]
+    sums = [sum(c.values()) + url_filter.BUCKETS for c in per]
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
+    score = lambda w: prior + sum(math.log((per[1][b] + 1) / sums[1]) - math.log((per[0][b] + 1) / sums[0]) for b in map(url_filter.bucket, w))
+    return [(h, p, " ".join(w), score(w)) for (h, p), w in zip(hosts, words)]
+
+
+def test_verdicts_of_urls_equal_brute_force(spark, small):
+    pages = spark.read.parquet(small + "/pages.parquet").select("page_id", "url", "html")
+    more = [("http://freecasinonews.org/x", "<p>Free casino news</p>"), ("http://CheapPills.com/buy-now_2/50", "<script>var casino</script>pills"), (None, None), ("http://" + "ab" * 900 + ".com", ""), ("http://ünïcode.de/straße", "<b>straße</b>")]
+    pages = pages.unionByName(spark.createDataFrame([(10_000 + i, *m) for i, m in enumerate(more + more[:1])], "page_id long, url string, html string"))
+    rows = pages.collect()
+    want = {r["page_id"]: w for r, w in zip(rows, brute_urls([(r["url"], r["html"]) for r in rows]))}
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert len(got) == len(rows)
+    for i, (host, path, words, score) in want.items():
+        assert (got[i]["host"], got[i]["path"], got[i]["words"]) == (host, path, words) and got[i]["score"] == pytest.approx(score, abs=1e-6)
+        assert got[i]["rule"] or got[i]["verdict"] == ("block" if got[i]["score"] > 0 else "allow")
+
+
 def test_words_of_hosts_and_bayes(spark):
-    s = url_filter.Segmenter({w: 10 for w in (*url_filter.COMMON, *url_filter.SEEDS)})
-    assert s.split("bestnewsonline") == ("best", "news", "online") and s.split("freecasinobonus")[:2] == ("free", "casino")
     urls = [f"http://{a}{b}.com/{c}" for a in ("casino", "poker") for b in ("win", "club", "world") for c in ("bonus", "jackpot", "x")]
     urls += [f"http://{a}{b}.com/{c}" for a in ("daily", "local") for b in ("news", "press", "art") for c in ("story", "report", "x")]
     urls += ["http://jackpotbonus.com/bonus/jackpot", "http://storyreport.com/story/report"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
-    assert [got[i] for i in range(18)] == ["block"] * 18 and [got[i] for i in range(18, 36)] == ["allow"] * 18
-    assert got[36] == "block" and got[37] == "allow"
+    got = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    assert [got[i]["verdict"] for i in range(18)] == ["block"] * 18 and [got[i]["verdict"] for i in range(18, 36)] == ["allow"] * 18
+    # without a seed word of their own
+    assert got[36]["words"].split()[:2] == ["jackpot", "bonus"] and got[36]["verdict"] == "block" and got[37]["verdict"] == "allow"
 
 
 # chats
