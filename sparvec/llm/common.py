@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,19 +9,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.workers import reach
+
 #: Limits of an Arrow batch: texts can be long, so bytes count before rows do.
 BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set what Python steps need: small Arrow batches, and a module path that reaches this package on local workers."""
+    """Set what Python steps need, for the session: small Arrow batches, and a module path that reaches this package on local workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([root, *paths])
+    reach(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ more than deletions, as for small sets, deletions are indexed.
 Shingles of very many documents (common lines) would be met everywhere, so they are counted first and left out of the universe: two sets without
 them differ in no more shingles than before, so every link is still found.
 
-1. Sets are made in one pass over the texts. Equal sets are one class, named by its least id, with a sketch of its set: one bit for each of about as many
+1. Sets are made, and shingles counted, in one pass over the texts. Equal sets are one class, named by its least id, with a sketch of its set: one bit for each of about as many
    places as it has shingles, the parity of the shingles hashed there. The bits in which two sketches differ are a lower bound of the shingles in which
    the sets differ, so a pair with too many such bits is no link.
 2. Signatures meet in a shuffle. Buckets with the same members are one; in each bucket the members are tied that their sketches and sizes allow to link. A
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_step, discard, partitions_for, table, texts_of, written
+from .common import arrow_step, discard, partitions_for, table, texts_of, unused, written
 from .components import connected_components
 
 WIDTH = 3
@@ -293,54 +293,52 @@ def digest_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, digest and sketch of the set (null where it is empty), one row per document."""
+#: kind 0: a document; 1: a shingle (in doc_id) that n_shingles documents of a task hold, as far as counted; 2: a task's number of documents.
+SETS = "kind int, doc_id long, n_shingles long, digest binary, sketch binary"
 
-    def run(batches):
-        shingler = Shingler(width)
-        for b in batches:
-            n, d, k = [], [], []
-            for t in texts_of(b):
-                s = shingler.shingles(t)
-                n.append(len(s))
-                d.append(digest_of(s) if len(s) else None)
-                k.append(sketch(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(k, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return arrow_step(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, sketch binary")
+def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """SETS: n_shingles, digest and sketch of the set of each document (null where it is empty), and counts of frequent shingles.
 
+    Lossy counting: every task counts all its documents, batch by batch, and drops what has stayed rare; so its memory is bounded, and so is what it returns.
+    """
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """The shingles that at least COMMON percent of all documents hold, give or take ERROR percent, sorted.
+    def run(batches):
+        shingler, held, total = Shingler(width), {}, 0
 
-    Lossy counting: every task counts all its documents, batch by batch, and drops what has stayed rare; so its memory is bounded, and so is the
-    result (there are at most 100 / COMMON such shingles for each shingle of an average document).
-    """
+        def rows(*columns: list) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "doc_id", "n_shingles", "digest", "sketch"])
 
-    def count(batches):
-        shingler, held, n = Shingler(width), {}, 0
         for b in batches:
-            sets = [shingler.shingles(t) for t in texts_of(b)]
-            n += len(sets)
-            if not sets:
+            if not b.num_rows:
                 continue
-            values, counts = np.unique(np.concatenate(sets), return_counts=True)
-            few = int(len(sets) * ERROR // 100)
+            own = [shingler.shingles(t) for t in texts_of(b)]
+            yield rows([0] * len(own), b.column("doc_id").to_pylist(), list(map(len, own)), [digest_of(s) if len(s) else None for s in own], [sketch(s) if len(s) else None for s in own])
+            total += len(own)
+            values, counts = np.unique(np.concatenate(own), return_counts=True)
+            few = int(len(own) * ERROR // 100)
             for v, c in zip(values[counts > few].tolist(), counts[counts > few].tolist()):
                 held[v] = held.get(v, 0) + c
-            held = {v: c for v, c in held.items() if c * 100 > ERROR * n}
-        yield pa.RecordBatch.from_arrays([pa.array([*held, 0], pa.uint64()).cast(pa.int64(), safe=False), pa.array([*held.values(), 0], pa.int64()), pa.array([0] * len(held) + [n], pa.int64())], ["x", "c", "n"])
+            held = {v: c for v, c in held.items() if c * 100 > ERROR * total}
+        n = len(held)
+        yield rows([1] * n + [2], [*np.array(list(held), np.uint64).astype(np.int64).tolist(), None], [*held.values(), total], [None] * (n + 1), [None] * (n + 1))
+
+    return arrow_step(docs.select("doc_id", "text"), run, SETS)
 
-    per = written(arrow_step(docs.select("text"), count, "x long, c long, n long"), "join-common")
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = per.filter("c > 0").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") * 100 >= total * COMMON).collect()
-    discard(per)
-    return np.sort(np.array([r["x"] for r in rows], np.int64).astype(np.uint64))
+
+def common_shingles(found: DataFrame) -> np.ndarray:
+    """The shingles that at least COMMON percent of all documents hold, give or take ERROR percent, sorted, from SETS.
+
+    There are at most 100 / COMMON such shingles for each shingle of an average document.
+    """
+    total = found.filter("kind = 2").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    rows = found.filter("kind = 1").groupBy("doc_id").agg(F.sum("n_shingles").alias("c")).filter(F.col("c") * 100 >= total * COMMON).collect()
+    return np.sort(np.array([r["doc_id"] for r in rows], np.int64).astype(np.uint64))
 
 
-def buckets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """(bucket, doc_id): the documents that share a signature with others. Signatures that the same documents share are one bucket."""
-    common = common_shingles(docs, width)
 
     def index(batches):
         shingler, index, met = Shingler(width), Index(percent), set()
@@ -450,12 +448,13 @@ def ties(members: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs."""
     spark = docs.sparkSession
-    rows = written(sets(docs, width), "join-rows")
+    read = written(sets(docs, width), "join-rows")
+    common, rows = common_shingles(read), read.filter("kind = 0").drop("kind")
     docs = docs.filter("doc_id IS NOT NULL")
     named = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "join-classes")
     class_of = named.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id")
-    found = written(buckets(docs, width, percent), "join-buckets")
+    found = written(buckets(docs, width, percent, common), "join-buckets")
     members = found.join(class_of, "doc_id").select("bucket", "class_id").distinct()
     tied = written(ties(members.join(classes, "class_id"), percent), "join-ties")
     discard(found)
@@ -468,7 +467,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     own = classes.join(comps, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
     got = rows.join(own, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     got = written(got, "join-result")
-    discard(rows, classes, *links)
+    discard(read, classes, *links)
     return got
 
 
@@ -561,33 +560,35 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     apart by a 63-bit hash. Rows without an id go when a row with one is linked to them.
     """
     hashed = F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+    key, unnamed, other, copy = unused(docs, "key", "unnamed", "other", "copy")
     several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"))
-    several = written(several.filter("a <> b").select(F.col("doc_id").alias("__id")), "join-several")
+    several = written(several.filter("a <> b").select(F.col("doc_id").alias(other)), "join-several")
     n_several = several.count()
-    keyed = docs
+    keyed = docs.withColumn(other, F.lit(None).cast("long"))
     if n_several:
-        several = F.broadcast(several) if n_several <= BROADCAST_IDS else several
-        keyed = docs.join(several, F.col("doc_id") == F.col("__id"), "left")
-    unnamed = F.col("doc_id").isNull() | F.col("__id").isNotNull() if n_several else F.col("doc_id").isNull()
+        keyed = docs.join(F.broadcast(several) if n_several <= BROADCAST_IDS else several, F.col("doc_id") == F.col(other), "left")
+    keyed = keyed.withColumn(unnamed, F.col("doc_id").isNull() | F.col(other).isNotNull())
     own = F.xxhash64("doc_id", hashed).bitwiseOR(F.lit(-(1 << 63)))
-    keyed = keyed.withColumn("__key", F.when(unnamed, own).otherwise(F.col("doc_id"))).withColumn("__unnamed", unnamed)
-    comps = components(keyed.select(F.col("__key").alias("doc_id"), "text"), width, percent)
-    result, comps = comps, written(comps.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")), "join-keyed")
+    keyed = keyed.withColumn(key, F.when(F.col(unnamed), own).otherwise(F.col("doc_id"))).drop(other)
+    result = components(keyed.select(F.col(key).alias("doc_id"), "text"), width, percent)
+    comps = written(result.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles")), "join-keyed")
     discard(result)
-    ids = written(keyed.filter("__unnamed").select(F.col("__key").alias("doc_id"), F.col("doc_id").alias("id"), F.lit(True).alias("unnamed")).distinct(), "join-unnamed")
+    ids = keyed.filter(F.col(unnamed)).select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id"), F.lit(True).alias("unnamed")).distinct()
     named = comps.join(ids, "doc_id", "left").withColumn("id", F.when(F.col("unnamed"), F.col("id")).otherwise(F.col("doc_id")))
+    named = written(named.drop("unnamed"), "join-named")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).getField("doc_id").alias("first"))
-    gone = comps.join(first, "component_id").filter("doc_id <> first").select(F.col("doc_id").alias("__key"))
-    stay = keyed.join(gone, "__key", "left_anti")
+    gone = written(comps.join(first, "component_id").filter("doc_id <> first").select(F.col("doc_id").alias(key)), "join-gone")
+    stay = keyed.join(gone, key, "left_anti")
     # rows of one key are copies; those without words and id aren't known to be
-    again = written(named.filter("n > 1 AND (n_shingles > 0 OR id IS NOT NULL)").select(F.col("doc_id").alias("__key")), "join-again")
+    again = written(named.filter("n > 1 AND (n_shingles > 0 OR id IS NOT NULL)").select(F.col("doc_id").alias(key)), "join-again")
+    discard(comps, named)
     n_again = again.count()
     if n_again:
         again = F.broadcast(again) if n_again <= BROADCAST_IDS else again
         hashable = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-        copy = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*hashable)))
-        once = stay.join(again, "__key", "left_semi").withColumn("__copy", copy).filter("__copy = 1").drop("__copy")
-        stay = stay.join(again, "__key", "left_anti").unionByName(once)
+        number = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*hashable)))
+        once = stay.join(again, key, "left_semi").withColumn(copy, number).filter(F.col(copy) == 1).drop(copy)
+        stay = stay.join(again, key, "left_anti").unionByName(once)
     return stay.select(*docs.columns)
 
 

@@ -128,7 +128,11 @@ def test_rows_without_an_id(spark):
     assert got == {None: (2, None), 1: (2, 1), 2: (2, 1), 3: (0, 3)}
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("split", [0, 1_000_000])
+def test_components_of_chains_and_stars(spark, split, monkeypatch):
+    from sparvec.llm import components
+
+    monkeypatch.setattr(components, "SPLIT", split)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (3, None), (2, 1)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)}
