@@ -3,6 +3,10 @@
 Quality classification drops low-quality and toxic documents; the Jaccard join keeps one document of each group of near copies (five words,
 0.8); suffix-array deduplication takes out repeated passages; decontamination drops documents that hold benchmark items; byte-level BPE
 turns the rest into token ids.
+
+Defined results: a null text counts as an empty one in every stage, and rows with empty texts stay (with no tokens) as long as the classifier keeps them; texts
+of any length are read whole; of repeated rows, and of ties in the join, one row stays, one with the least id; rows without an id stay unless they are copies of
+others; an empty table goes through as one; of extra columns all stages but the last keep all, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparvec.llm import bpe, decontaminate, jaccard_join, quality_classifier, suffix_dedup
-from sparvec.llm.common import table, written
+from sparvec.llm.common import discard, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
