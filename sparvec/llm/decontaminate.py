@@ -60,14 +60,9 @@ def code(word: Column) -> Column:
     )
 
 
-def windows(words: str, codes: str, size: int) -> Column:
-    """The hashes of the windows of a text, in order: of their templates, or where these have no literal word, of their values."""
-    template, value = f"slice({codes}, i, {size})", f"slice({words}, i, {size})"
-    if size == WINDOW:
-        key = f"CASE WHEN exists({template}, c -> c NOT BETWEEN {NUMBER} AND {UNIT}) THEN xxhash64({template}) ELSE xxhash64('=', {value}) END"
-    else:
-        key = f"xxhash64('=', {value})"
-    return F.when(F.size(codes) >= size, F.expr(f"transform(sequence(1, size({codes}) - {size - 1}), i -> {key})"))
+def windows(of: str, size: int) -> Column:
+    """The hashes of the windows of an array, in order."""
+    return F.when(F.size(of) >= size, F.expr(f"transform(sequence(1, size({of}) - {size - 1}), i -> xxhash64(slice({of}, i, {size})))"))
 
 
 MATCHES = "doc_id long, item_id long, n_words long, n_covered long, longest_run long, exact boolean"
@@ -78,15 +73,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).withColumn("item_codes", F.transform("item_words", code))
     items = items.filter(F.size("item_codes") > 0).withColumn("size", F.least(F.size("item_codes"), F.lit(WINDOW))).dropDuplicates(["item_id", "item_words"])
     items = written(items.withColumn("n_words", F.size("item_words").cast("long")), "bench-items")
-    sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most WINDOW of them
+    # windows by size, and whether they have a literal word and so go by their templates: at most WINDOW + 1 kinds
+    own = items.select("item_id", "size", F.posexplode(F.expr("transform(sequence(1, size(item_codes) - size + 1), i -> struct(slice(item_words, i, size) AS w, slice(item_codes, i, size) AS c))")).alias("q", "x"))
+    literal = (F.col("size") == WINDOW) & F.exists("x.c", lambda c: ~c.between(NUMBER, UNIT))
+    own = own.select("item_id", "q", "size", literal.alias("literal"), F.when(literal, F.xxhash64("x.c")).otherwise(F.xxhash64("x.w")).alias("h"))
+    own = written(own, "bench-windows")
+    kinds = sorted(tuple(r) for r in own.groupBy("size", "literal").count().collect())
     th = F.xxhash64("text").alias("th")
-    texts = docs.select("doc_id", th, words_of(F.col("text")).alias("words")).withColumn("codes", F.transform("words", code))
+    texts = docs.select("doc_id", th, words_of(F.col("text")).alias("words"))
     found = []
-    for size in sizes:
-        bench = items.filter(F.col("size") == size).select("item_id", F.posexplode(windows("item_words", "item_codes", size)).alias("q", "h"))
-        small = bench.count() <= BROADCAST_ROWS
-        mine = texts.select("doc_id", "th", F.posexplode(windows("words", "codes", size)).alias("p", "h"))
-        found.append(mine.join(F.broadcast(bench) if small else bench, "h").select("doc_id", "th", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal")))
+    for size, by_template, n in kinds:
+        bench = own.filter((F.col("size") == size) & (F.col("literal") == by_template)).select("item_id", "q", "h")
+        of = texts.withColumn("words", F.transform("words", code)) if by_template else texts
+        mine = of.select("doc_id", "th", F.posexplode(windows("words", size)).alias("p", "h"))
+        found.append(mine.join(F.broadcast(bench) if n <= BROADCAST_ROWS else bench, "h").select("doc_id", "th", "item_id", "q", (F.col("p") - F.col("q")).alias("diagonal")))
     if not found:
         return docs.sparkSession.createDataFrame([], MATCHES)
     met = written(functools.reduce(DataFrame.unionByName, found).filter("doc_id IS NOT NULL").distinct(), "bench-met")
@@ -96,7 +96,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = met.groupBy(*known).agg(F.countDistinct("q").alias("n_found")).join(items.select("item_id", "n_words", "size"), "item_id").filter(likely).select(*known)
     places = met.join(pairs, known, "left_semi").groupBy(*known, "diagonal").agg(F.array_sort(F.collect_set("q")).alias("qs"))
     places = written(places, "bench-places")
-    discard(met)
+    discard(met, own)
     small = places.count() <= BROADCAST_ROWS // 10
     source = docs.select("doc_id", "text", th)
     if small:
