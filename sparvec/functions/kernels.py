@@ -12,6 +12,8 @@ from ..config import IndexConfig
 from .constants import FLOOR, SEED_FOR_ZERO, STREAM_MULTIPLIER, STREAM_SHIFTS, boundaries, centroids
 
 F32 = np.float32
+#: Sums of all queries that share a pass.
+SUMS = 1 << 16
 _MASK = (1 << 64) - 1
 
 
@@ -129,23 +131,30 @@ def products_sum(products: np.ndarray, bits: int) -> np.ndarray:
     return ((a[0] + a[1]) + (a[2] + a[3])) + ((a[4] + a[5]) + (a[6] + a[7])) + tail
 
 
-def column_scores(columns: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
-    """The same sums from columns of decoded codes (one row a coordinate), which stay in cache: the fast way for many queries."""
+def together(n: int) -> int:
+    """How many queries share a pass over the columns of n rows, so that their sums stay in cache and few rows are worth a pass."""
+    return max(1, SUMS // max(1, n))
+
+
+def column_scores(columns: np.ndarray, qs: np.ndarray, bits: int) -> np.ndarray:
+    """The same sums from columns of decoded codes (one row a coordinate), which stay in cache: the fast way for many queries, one a row of the result."""
     p, n = columns.shape
-    part, term = np.empty(n, F32), np.empty(n, F32)
+    m = len(qs)
+    along = np.ascontiguousarray(qs.T)[:, :, None]
+    part, term = np.empty((m, n), F32), np.empty((m, n), F32)
     if bits != 4:
-        lanes = np.zeros((4, n), F32)
+        lanes = np.zeros((4, m, n), F32)
         for i in range(p):
-            np.multiply(columns[i], q[i], out=part)
+            np.multiply(columns[i], along[i], out=part)
             lanes[i % 4] += part
         return (lanes[0] + lanes[1]) + (lanes[2] + lanes[3])
     pairs = (p + 1) // 2
     blocks = pairs // 8 * 8
-    acc, tail = np.zeros((8, n), F32), np.zeros(n, F32)
+    acc, tail = np.zeros((8, m, n), F32), np.zeros((m, n), F32)
     for b in range(pairs):
-        np.multiply(columns[2 * b], q[2 * b], out=term)
+        np.multiply(columns[2 * b], along[2 * b], out=term)
         if 2 * b + 1 < p:
-            np.multiply(columns[2 * b + 1], q[2 * b + 1], out=part)
+            np.multiply(columns[2 * b + 1], along[2 * b + 1], out=part)
             term += part
         if b < blocks:
             acc[b % 8] += term
@@ -154,10 +163,12 @@ def column_scores(columns: np.ndarray, q: np.ndarray, bits: int) -> np.ndarray:
     return ((acc[0] + acc[1]) + (acc[2] + acc[3])) + ((acc[4] + acc[5]) + (acc[6] + acc[7])) + tail
 
 
-def column_sums(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products from columns, in one running sum."""
-    part, total = np.empty(columns.shape[1], F32), np.zeros(columns.shape[1], F32)
-    for column, x in zip(columns, q):
+def column_sums(columns: np.ndarray, qs: np.ndarray) -> np.ndarray:
+    """Inner products from columns, each in one running sum; one query a row of the result."""
+    n = columns.shape[1]
+    along = np.ascontiguousarray(qs.T)[:, :, None]
+    part, total = np.empty((len(qs), n), F32), np.zeros((len(qs), n), F32)
+    for column, x in zip(columns, along):
         np.multiply(column, x, out=part)
         total += part
     return total

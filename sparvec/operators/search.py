@@ -132,13 +132,29 @@ def cut(hits: DataFrame, k: int, *order: Column, rank: str = "rank") -> DataFram
     return hits.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def _parts(n: int, qs: np.ndarray):
+    """Queries, as many at a time as share a pass over n rows."""
+    size = kernels.together(n)
+    for at in range(0, len(qs), size):
+        yield qs[at : at + size]
+
+
 def _scores(rows: Rows, qs: Rows, config: IndexConfig):
     """The scores of all rows for one query after the other."""
     columns = np.ascontiguousarray(kernels.dequantize(rows["codes"], config.bits).T)
     second = np.ascontiguousarray(kernels.dequantize(rows["codes2"], 4).T) if config.residual else None
-    for q in qs["q"]:
-        s = kernels.column_scores(columns, q, config.bits) * rows["scale"]
-        yield s if second is None else s + kernels.column_scores(second, q, 4) * rows["scale2"]
+    for part in _parts(columns.shape[1], qs["q"]):
+        s = kernels.column_scores(columns, part, config.bits) * rows["scale"]
+        yield from s if second is None else s + kernels.column_scores(second, part, 4) * rows["scale2"]
+
+
+def _cosines(x: np.ndarray, qs: np.ndarray, dot: bool = False):
+    """The exact cosines (or dot products) of all rows for one query after the other."""
+    columns = np.ascontiguousarray(x.T)
+    length = None if dot else kernels.norms(x)
+    for part in _parts(len(x), qs):
+        s = kernels.column_sums(columns, part)
+        yield from s if dot else s / (length * kernels.norms(part)[:, None])
 
 
 def _live(slots: DataFrame) -> DataFrame:
@@ -186,10 +202,8 @@ def score_errors(slots: DataFrame, queries: DataFrame, config: IndexConfig, vect
         return {"exact": x, "q": kernels.prepare(x, config)[0]}
 
     def score(rows: Rows, qs: Rows):
-        columns, length = np.ascontiguousarray(rows["x"].T), kernels.norms(rows["x"])
         n, most, total = 0, 0.0, 0.0
-        for e, s in zip(qs["exact"], _scores(rows, qs, config)):
-            exact = kernels.column_sums(columns, e) / (length * np.sqrt(kernels.running_sum((e * e)[None, :])))
+        for exact, s in zip(_cosines(rows["x"], qs["exact"]), _scores(rows, qs, config)):
             gap = np.abs(s.astype(np.float64) - exact.astype(np.float64))
             n, most, total = n + len(gap), max(most, float(gap.max(initial=0.0))), total + float(gap.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([most]), pa.array([total])], ["n", "most", "total"])
@@ -210,13 +224,8 @@ def exact_search(slots: DataFrame, queries: DataFrame, dim: int, k: int, vector:
     k, config = max(1, k), IndexConfig(dim)
 
     def score(rows: Rows, qs: Rows):
-        columns = np.ascontiguousarray(rows["x"].T)
-        length = None if dot else kernels.norms(rows["x"])
         out = []
-        for i, q in zip(qs["qid"], qs["q"]):
-            s = kernels.column_sums(columns, q)
-            if length is not None:
-                s = s / (length * np.sqrt(kernels.running_sum((q * q)[None, :])))
+        for i, s in zip(qs["qid"], _cosines(rows["x"], qs["q"], dot)):
             top = best(s, rows["slot"], k)
             out.append((np.full(len(top), i), rows["slot"][top], s[top]))
         yield hit_batch(out)

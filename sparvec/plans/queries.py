@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import functools
 import struct
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ from ..operators.encode import encode, encode_in_sql, matrix
 from ..operators.workers import reach
 from ..sources import format as fmt
 from ..sources import raw
+from ..streaming import upsert
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,6 +528,37 @@ add(
     f"WITH {S.encoded(BITS[4])} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes, CAST(scale AS DOUBLE) AS scale FROM enc",
 )
 
+# streams and generators
+
+
+def streamed_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The vectors as a stream of keyed changes, and the table that comes of it."""
+    home = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparvec-")
+    home = f"{home}/stream-{uuid.uuid4().hex}"
+    stream = s.readStream.schema(vectors(s, d).schema).parquet(f"{d}/embeddings.parque[t]")
+    changed = stream.select(F.col("vec_id").alias("seq"), F.expr("vec_id * 7 % 97").alias("key"), "embedding")
+    upsert.upsert_stream(changed, BITS[5], f"{home}/index", f"{home}/progress").awaitTermination()
+    return upsert.latest(s, f"{home}/index").select("slot", F.col("key").cast("long").alias("key"), "alive", joined("codes"), double("scale"))
+
+
+add(
+    "streamed_upsert",
+    streamed_upsert,
+    f"WITH {S.encoded(BITS[5])}, l AS (SELECT vec_id * 7 % 97 AS key, max(vec_id) AS newest, min(vec_id) AS oldest FROM embeddings GROUP BY ALL)"
+    f" SELECT row_number() OVER (ORDER BY oldest) - 1 AS slot, key, true AS alive, {TEXT} AS codes, CAST(scale AS DOUBLE) AS scale FROM l JOIN enc ON vec_id = newest",
+)
+
+
+def generated(s: SparkSession, d: str) -> DataFrame:
+    """Of seeded vectors around eight centres: how many each has, their norms, and whether another run gives the same."""
+    made = [raw.clustered(s, 1000, DIM, 8, 5, 0.3) for _ in range(2)]
+    both = made[0].join(made[1].select("slot", F.col("embedding").alias("again")), "slot")
+    per = both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.round(f(E.norm(F.col("embedding"))).cast("double"), 5).alias(c) for c, f in (("least", F.min), ("most", F.max))), F.bool_and(F.col("embedding") == F.col("again")).alias("same"))
+    return per.withColumn("label", F.col("label").cast("long"))
+
+
+add("generated", generated, "SELECT i % 8 AS label, count(*) AS n, CAST(1 AS DOUBLE) AS least, CAST(1 AS DOUBLE) AS most, true AS same FROM range(1000) r(i) GROUP BY ALL")
+
 # measures
 
 
