@@ -14,8 +14,9 @@ them differ in no more shingles than before, so every link is still found.
 1. Sets are made, and shingles counted, in one pass over the texts. Equal sets are one class, named by its least id, with a sketch of its set: one bit for each of about as many
    places as it has shingles, the parity of the shingles hashed there. The bits in which two sketches differ are a lower bound of the shingles in which
    the sets differ, so a pair with too many such bits is no link.
-2. Signatures meet in a shuffle. Buckets with the same members are one; in each bucket the members are tied that their sketches and sizes allow to link. A
-   bucket beyond HOT members is streamed instead, each tied to the first. So no bucket gives pairs, and the ties' components hold every pair of linked sets.
+2. Signatures meet in a shuffle. Buckets with the same members are one; in each bucket the members are tied that their sketches and sizes allow to link. The
+   documents of a bucket beyond HOT members are indexed again without the shingles behind its signature; a bucket that is as large without them is
+   streamed, each member tied to the first. So no bucket gives pairs, and the ties' components hold every pair of linked sets.
 3. The members of a component are dealt out in blocks of BLOCK sets by size; each pair of blocks whose sizes can link is one group. In a
    group all overlaps are counted exactly, as a product of incidence matrices, and only a spanning star of each linked part is returned: no
    pairs leave a task, whatever the number of links. Of a component of several blocks, all members first meet its HEADS heads; members
@@ -56,6 +57,8 @@ HEADS = 8
 SKETCH_BITS = 1 << 16
 #: Members of a bucket that are compared by their sketches.
 HOT = 4096
+#: How often documents of larger buckets are indexed again, and how many shingles are left out for that at most.
+LEVELS, MOST_LEFT_OUT = 2, 2_000_000
 #: Cells of an incidence matrix that are counted at a time.
 CELLS = 1 << 22
 MEMO_WORDS = 500_000
@@ -157,15 +160,18 @@ def plan(top: int, percent: int) -> Plan:
     return deleting
 
 
-def in_band(tokens: np.ndarray, band: int, how: Plan) -> np.ndarray:
-    """The signatures of a set in a band.
+def segment_of(tokens: np.ndarray, how: Plan) -> np.ndarray:
+    return ((tokens >> np.uint64(32)) * np.uint64(how.segments)) >> np.uint64(32)
+
+
+def in_band(tokens: np.ndarray, band: int, how: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set in a band, and the segment of each.
 
     Linked sets agree in spare + 1 segments at least. If no segment that they share is indexed for its shingles, all of these are weak in both, so
     both have more weak segments than spare ones; such a set indexes its weak segments too, and the empty ones where
     they alone are more than the spare ones. With deletions, linked sets differ in one shingle at most in some segment, perhaps an empty one.
     """
-    m = np.uint64(how.segments)
-    where = ((tokens >> np.uint64(32)) * m) >> np.uint64(32)
+    where = segment_of(tokens, how)
     values = mixed(tokens * _A + np.uint64(band))
     order = np.argsort(where, kind="stable")
     where, values = where[order], values[order]
@@ -174,14 +180,16 @@ def in_band(tokens: np.ndarray, band: int, how: Plan) -> np.ndarray:
         start = np.zeros(0, np.int64)
     sums, ids, counts = np.add.reduceat(values, start) if len(start) else values, where[start], np.diff(np.append(start, len(where)))
     tag = lambda i, s: mixed(mixed(s + i * _B) + np.uint64(band) * _C)
-    empty = lambda: tag(np.setdiff1d(np.arange(how.segments, dtype=np.uint64), ids), np.uint64(0))
+    empty = np.setdiff1d(np.arange(how.segments, dtype=np.uint64), ids)
+    own = tag(ids, sums)
     if how.deleting:
-        return np.concatenate([tag(ids, sums), tag(where, np.repeat(sums, counts) - values), empty()])
+        return np.concatenate([own, tag(where, np.repeat(sums, counts) - values), tag(empty, np.uint64(0))]), np.concatenate([ids, where, empty])
     strong = counts >= how.least
     if how.segments - strong.sum() <= how.spare:
-        return tag(ids[strong], sums[strong])
-    own = tag(ids, sums)
-    return np.concatenate([own, empty()]) if how.segments - len(ids) > how.spare else own
+        return own[strong], ids[strong]
+    if len(empty) > how.spare:
+        return np.concatenate([own, tag(empty, np.uint64(0))]), np.concatenate([ids, empty])
+    return own, ids
 
 
 class Index:
@@ -211,10 +219,27 @@ class Index:
         """Signatures of a set; common: shingles that are left out of the universe."""
         if not len(plans := self.of(len(tokens))):
             return np.zeros(0, np.uint64)
-        if common is not None and len(common):
-            tokens = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
+        tokens = without(tokens, common)
+        with np.errstate(over="ignore"):
+            return np.unique(np.concatenate([in_band(tokens, *p)[0] for p in plans]))
+
+    def behind(self, tokens: np.ndarray, common: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """The shingles in the segments of a set whose signatures are hot (sorted)."""
+        plans, tokens, out = self.of(len(tokens)), without(tokens, common), [np.zeros(0, np.uint64)]
         with np.errstate(over="ignore"):
-            return np.unique(np.concatenate([in_band(tokens, *p) for p in plans]))
+            for band, how in plans:
+                sigs, segments = in_band(tokens, band, how)
+                out.append(tokens[np.isin(segment_of(tokens, how), segments[among(sigs, hot)])])
+        return np.unique(np.concatenate(out))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def without(tokens: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    return tokens[~among(tokens, common)] if common is not None and len(common) else tokens
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -337,8 +362,40 @@ def common_shingles(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["doc_id"] for r in rows], np.int64).astype(np.uint64))
 
 
-def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(bucket, doc_id): the documents that share a signature with others. Signatures that the same documents share are one bucket."""
+def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> list[DataFrame]:
+    """Written tables of (bucket, doc_id, hot): the documents that share a signature with others.
+
+    Documents of hot buckets are indexed again without the shingles behind the hot signatures, as any shingles may be left out; only what is hot without them, too,
+    stays hot. All shingles that are left out are bounded by MOST_LEFT_OUT, else the hot buckets stay.
+    """
+    found = [written(_signed(docs, width, percent, common), "join-buckets")]
+    for _ in range(LEVELS):
+        hot = found[-1].filter("hot")
+        sigs = hot.select("bucket").distinct().limit(MOST_LEFT_OUT + 1)
+        if hot.isEmpty() or sigs.count() > MOST_LEFT_OUT:
+            break
+        known = np.sort(np.array([r["bucket"] for r in sigs.collect()], np.int64).astype(np.uint64))
+        texts = docs.join(hot.select("doc_id").distinct(), "doc_id", "left_semi")
+
+        def behind(batches, common=common, known=known):
+            shingler, index = Shingler(width), Index(percent)
+            for b in batches:
+                out = [index.behind(s, common, known) for t in texts_of(b) if len(s := shingler.shingles(t))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).astype(np.int64) if out else [], pa.int64())], ["x"])
+
+        left_out = arrow_step(texts.select("text"), behind, "x long").distinct().limit(MOST_LEFT_OUT + 1).collect()
+        if not 0 < len(left_out) <= MOST_LEFT_OUT - len(common):
+            break
+        common = np.union1d(common, np.array([r["x"] for r in left_out], np.int64).astype(np.uint64))
+        again = written(_signed(texts, width, percent, common), "join-buckets")
+        cooler = written(found[-1].filter("NOT hot"), "join-buckets")
+        discard(found.pop())
+        found += [cooler, again]
+    return found
+
+
+def _signed(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(bucket, doc_id, hot). Signatures that the same documents share are one bucket; one of more than HOT documents goes by its signature."""
 
     def index(batches):
         shingler, index, met = Shingler(width), Index(percent), set()
@@ -371,39 +428,42 @@ def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Da
                 continue
             start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
             ends = np.append(start[1:], len(sig))
-            out: list[tuple[int, np.ndarray]] = []
+            out: list[tuple[int, np.ndarray, bool]] = []
 
-            def over(members: np.ndarray) -> None:
+            def over(sig_over: int, members: np.ndarray) -> None:
                 members = np.unique(members)
-                if len(members) > 1:
+                if len(members) > HOT:
+                    out.append((int(sig_over) & 0xFFFFFFFFFFFFFFFF, members, True))
+                elif len(members) > 1:
                     key = xxhash.xxh3_64_intdigest(members.tobytes())
                     if key not in known:
                         if len(known) < MEMO_WORDS:
                             known.add(key)
-                        out.append((key, members))
+                        out.append((key, members, False))
 
             first = 0
             if last is not None:
                 if len(sig) and sig[0] == last:
                     held, first = np.concatenate([held, doc[: ends[0]]]), 1
                     if hot or len(held) > HOT:
-                        out.append((int(last) & 0xFFFFFFFFFFFFFFFF, held))
+                        out.append((int(last) & 0xFFFFFFFFFFFFFFFF, held, True))
                         held, hot = np.zeros(0, np.int64), True
                 if len(start) > first or not len(sig):  # another signature follows
                     if not hot:
-                        over(held)
+                        over(last, held)
                     last = None
             if len(start) > first:
                 for k in first + np.flatnonzero(ends[first:-1] - start[first:-1] > 1):
-                    over(doc[start[k] : ends[k]])
+                    over(sig[start[k]], doc[start[k] : ends[k]])
                 last, held, hot = sig[-1], doc[start[-1] :], False
             if out:
-                keys = np.repeat(np.array([k for k, _ in out], np.uint64), [len(m) for _, m in out]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([m for _, m in out]))], ["bucket", "doc_id"])
+                n = [len(m) for _, m, _ in out]
+                keys = np.repeat(np.array([k for k, _, _ in out], np.uint64), n).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([m for _, m, _ in out])), pa.array(np.repeat([h for _, _, h in out], n))], ["bucket", "doc_id", "hot"])
 
     spark = docs.sparkSession
     found = arrow_step(docs.select("doc_id", "text"), index, "sig long, doc_id long")
-    return found.repartition(partitions_for(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(shared, "bucket long, doc_id long").distinct()
+    return found.repartition(partitions_for(spark), "sig").sortWithinPartitions("sig", "doc_id").mapInArrow(shared, "bucket long, doc_id long, hot boolean").distinct()
 
 
 def _with_end(batches):
@@ -454,10 +514,10 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     named = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "join-classes")
     class_of = named.select("doc_id", "digest").join(classes.select("digest", "class_id"), "digest").select("doc_id", "class_id")
-    found = written(buckets(docs, width, percent, common), "join-buckets")
-    members = found.join(class_of, "doc_id").select("bucket", "class_id").distinct()
+    found = buckets(docs, width, percent, common)
+    members = functools.reduce(DataFrame.unionByName, found).join(class_of, "doc_id").select("bucket", "class_id").distinct()
     tied = written(ties(members.join(classes, "class_id"), percent), "join-ties")
-    discard(found)
+    discard(*found)
     parts = connected_components(tied)
     discard(tied)
     standing = parts.select(F.col("id").alias("class_id"), F.col("component").alias("part")).join(classes.drop("sketch"), "class_id")

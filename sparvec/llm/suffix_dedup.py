@@ -18,6 +18,9 @@ anchors (about one place in 85), and of those only the ones whose seed occurs mo
    together. Surroundings that occur twice are repeats as a whole, and one of them goes on for all; groups of one are done. So an anchor in a common
    passage is followed at the passage's two ends only. Half by half, all groups come to GROUP anchors, or to a single string.
 
+``repeat_groups`` lists the maximal repeats themselves, each with all its places, from the same tree: of each interval the sub-intervals by what stands left, as
+far as they differ in the byte on either side. A longer repeat than the strings of one anchor cover shows as several groups that overlap.
+
 Each copy of a text that occurs more than once is covered as a whole, so only one of them takes part in 3 to 5.
 
 Defined results: a null text counts as an empty one; texts shorter than ``min_bytes`` hold no repeat; repeated rows are copies of each other;
@@ -100,30 +103,44 @@ def intervals(lcp: list[int]):
             stack.append((shared, left))
 
 
-def extents(groups: list, contexts: list[bytes], offsets: list[int], min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """How far the repeats of each anchor reach to its left and right; 0 and 0 where it has none of min_bytes.
+class Tree:
+    """The suffixes of a group's members at their anchors, in order, with the intervals of their common prefixes.
 
-    contexts: the text around each anchor, offsets: where in it the anchor is. Anchors of different groups aren't compared.
+    contexts: the text around each anchor, offsets: where in it the anchor is. Members of different groups aren't compared.
     """
+
+    def __init__(self, groups: list, contexts: list[bytes], offsets: list[int]) -> None:
+        n = len(contexts)
+        self.rights = [c[o:] for c, o in zip(contexts, offsets)]
+        lefts = [c[:o][::-1] for c, o in zip(contexts, offsets)]
+        suffixes = sorted(range(n), key=lambda i: (groups[i], self.rights[i]))
+        self.by_left = sorted(range(n), key=lambda i: (groups[i], lefts[i]))
+        rank = [0] * n
+        for k, i in enumerate(self.by_left):
+            rank[i] = k
+        right_m, right_n = _matrix([self.rights[i] for i in suffixes])
+        self.left_m, self.left_n = _matrix([lefts[i] for i in self.by_left])
+        along = np.arange(max(0, n - 1))
+        shared = _common(right_m, right_n, along, along + 1)
+        self.lcp = [-1, *(int(x) if groups[suffixes[k]] == groups[suffixes[k + 1]] else -1 for k, x in enumerate(shared))][:n]
+        self.ranks = [rank[i] for i in suffixes]
+
+    def repeats(self, min_bytes: int):
+        """(the ranks by what stands left of an interval's members, their common prefix), where a repeat of min_bytes can be."""
+        longest_left = int(self.left_n.max(initial=0))
+        for first, last, prefix in intervals(self.lcp):
+            if prefix + longest_left >= min_bytes:
+                yield sorted(self.ranks[first : last + 1]), prefix
+
+
+def extents(groups: list, contexts: list[bytes], offsets: list[int], min_bytes: int = MIN_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """How far the repeats of each anchor reach to its left and right; 0 and 0 where it has none of min_bytes."""
     n = len(contexts)
     far_left, far_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n < 2:
         return far_left, far_right
-    rights = [c[o:] for c, o in zip(contexts, offsets)]
-    lefts = [c[:o][::-1] for c, o in zip(contexts, offsets)]
-    suffixes = sorted(range(n), key=lambda i: (groups[i], rights[i]))
-    by_left = sorted(range(n), key=lambda i: (groups[i], lefts[i]))
-    rank = [0] * n
-    for k, i in enumerate(by_left):
-        rank[i] = k
-    right_m, right_n = _matrix([rights[i] for i in suffixes])
-    left_m, left_n = _matrix([lefts[i] for i in by_left])
-    along = np.arange(n - 1)
-    shared = _common(right_m, right_n, along, along + 1)
-    lcp = [-1, *(int(x) if groups[suffixes[k]] == groups[suffixes[k + 1]] else -1 for k, x in enumerate(shared))]
-    members = np.array(by_left)
-    ranks = [rank[i] for i in suffixes]
-    longest_left = int(left_n.max())
+    tree = Tree(groups, contexts, offsets)
+    members = np.array(tree.by_left)
     held: list[list[int]] = []
     reach: list[int] = []
     total = 0
@@ -132,19 +149,17 @@ def extents(groups: list, contexts: list[bytes], offsets: list[int], min_bytes:
         x = np.concatenate([np.array(h) for h in held])
         sizes = np.array(list(map(len, held)))
         r = np.repeat(np.array(reach), sizes)
-        both = _common(left_m, left_n, x[:-1], x[1:])
+        both = _common(tree.left_m, tree.left_n, x[:-1], x[1:])
         both[np.cumsum(sizes)[:-1] - 1] = -1  # the last of one interval and the first of the next
         left = np.maximum(np.append(both, -1), np.insert(both, 0, -1))
         good = left + r >= min_bytes
         np.maximum.at(far_left, members[x[good]], left[good])
         np.maximum.at(far_right, members[x[good]], r[good])
 
-    for first, last, prefix in intervals(lcp):
-        if prefix + longest_left < min_bytes:
-            continue
-        held.append(sorted(ranks[first : last + 1]))
+    for ranks, prefix in tree.repeats(min_bytes):
+        held.append(ranks)
         reach.append(prefix)
-        total += last + 1 - first
+        total += len(ranks)
         if total > 60_000:
             flush()
             held, reach, total = [], [], 0
@@ -153,6 +168,22 @@ def extents(groups: list, contexts: list[bytes], offsets: list[int], min_bytes:
     return far_left, far_right
 
 
+def maximal(groups: list, contexts: list[bytes], offsets: list[int], min_bytes: int = MIN_BYTES):
+    """(bytes to the left of the anchor, to its right, members) of the repeats that differ in the byte on either side, or end there."""
+    if len(contexts) < 2:
+        return
+    tree = Tree(groups, contexts, offsets)
+    for ranks, right in tree.repeats(min_bytes):
+        x = np.array(ranks)
+        both = _common(tree.left_m, tree.left_n, x[:-1], x[1:])
+        for first, last, left in intervals([-1, *both.tolist()]):
+            if left + right >= min_bytes:
+                members = [tree.by_left[k] for k in ranks[first : last + 1]]
+                after = [tree.rights[m][right : right + 1] for m in members]
+                if b"" in after or len(set(after)) > 1:
+                    yield left, right, members
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(data).alias("th"), data.alias("data"))
@@ -177,6 +208,25 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
     # the copies that don't take part
     spare = rows.filter("whole").join(copies.select(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")), ["doc_id", "th"], "left_anti").select("doc_id", "th").distinct()
 
+    got = _found(texts, spare, min_bytes)
+    discard(copies)
+    spans = functools.reduce(DataFrame.unionByName, got).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    return rows, spans.join(rows.filter("whole").select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+
+
+def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """repeat (a digest of its bytes), n_bytes, doc_id, start: one row for each place of each maximal repeat, copies of texts included.
+
+    As many rows as there are places; a part of a text that many repeats hold is in many of them. In groups that are split on, repeats are told apart by the
+    strings that name the parts, so a repeat shows as several there.
+    """
+    texts = _texts(docs)
+    got = functools.reduce(DataFrame.unionByName, _found(texts, None, min_bytes, True)).distinct()
+    return got.select(F.hex("repeat").alias("repeat"), (F.col("end") - F.col("start")).alias("n_bytes"), F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "start")
+
+
+def _found(texts: DataFrame, spare: DataFrame | None, min_bytes: int, listed: bool = False) -> list[DataFrame]:
+    """Written tables of doc_id, th, start, end of the repeats of all texts without the spare ones; listed: of each maximal one, with its digest."""
     def find(batches):
         names, kinds = ["h", "doc_id", "th", "at"], [pa.int64()] * 4
         for b in batches:
@@ -196,26 +246,25 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFra
     # written, so that the join below is one that Spark can split where a seed is hot
     seeds = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-seeds")
     hot = not seeds.filter(F.col("n") > GROUP).isEmpty()
-    got = [written(_scanned(_dealt(texts, marks, seeds.filter(F.col("n") <= GROUP) if hot else seeds, spare, min_bytes), "h", min_bytes), "repeat-spans")]
+    got = [written(_scanned(_dealt(texts, marks, seeds.filter(F.col("n") <= GROUP) if hot else seeds, spare, min_bytes, listed), "h", min_bytes, listed), "repeat-spans")]
     if hot:
-        members = written(_dealt(texts, marks, seeds.filter(F.col("n") > GROUP), spare, min_bytes), "repeat-hot")
-        got += _split(members, min_bytes)
+        members = written(_dealt(texts, marks, seeds.filter(F.col("n") > GROUP), spare, min_bytes, listed), "repeat-hot")
+        got += _split(members, min_bytes, listed)
         discard(members)
-    discard(copies, marks, seeds)
-    spans = functools.reduce(DataFrame.unionByName, got).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return rows, spans.join(rows.filter("whole").select("doc_id", "th").distinct(), ["doc_id", "th"], "left_anti")
+    discard(marks, seeds)
+    return got
 
 
 MEMBERS = "h long, doc_id long, th long, start long, offset int, context binary"
 
 
-def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFrame, min_bytes: int) -> DataFrame:
+def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFrame | None, min_bytes: int, listed: bool = False) -> DataFrame:
     """MEMBERS: each anchor of the seeds given, with the text around it and where in that it is.
 
     Without a context, a row is a span of a text from start, offset bytes long, that is known to be repeated in that text.
     """
     found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-    found = found.join(spare, ["doc_id", "th"], "left_anti")
+    found = found if spare is None else found.join(spare, ["doc_id", "th"], "left_anti")
 
     def cut(batches):
         schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary())])
@@ -230,7 +279,7 @@ def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFram
                 contexts = [data[x:y] for x, y in zip(first.tolist(), end.tolist())]
                 offset = place - first
                 known: list[tuple[int, int]] = []
-                if len(np.unique(h)) < len(h):
+                if not listed and len(np.unique(h)) < len(h):
                     met: dict[tuple, int] = {}
                     again = set()
                     for j, key in enumerate(zip(h.tolist(), offset.tolist(), contexts)):
@@ -257,37 +306,51 @@ def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFram
     return arrow_step(found.join(texts, ["doc_id", "th"]).select("doc_id", "th", "marks", "data"), cut, MEMBERS)
 
 
-def _scanned(members: DataFrame, key: str, min_bytes: int) -> DataFrame:
-    """doc_id, th, start, end: the repeats of members that share a key, merged as far as a task can."""
+SPANS = "doc_id long, th long, start long, end long, repeat binary"
+
+
+def _scanned(members: DataFrame, key: str, min_bytes: int, listed: bool = False) -> DataFrame:
+    """SPANS: the repeats of members that share a key, merged as far as a task can; listed: each maximal one, with its digest."""
     members = members.select(key, "doc_id", "th", "start", "offset", "context")
     members = members.repartition(partitions_for(members.sparkSession), key).sortWithinPartitions(key)
 
     def scan(batches):
-        schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "start", "end")])
-
-        def done(rows: list[tuple], known: list[tuple]) -> pa.RecordBatch:
-            left, right = extents([r[0] for r in rows], [r[5] for r in rows], [r[4] for r in rows], min_bytes)
+        schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "th", "start", "end")), ("repeat", pa.binary())])
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * 5, schema)], schema=schema)
+
+        def done(rows: list[tuple], known: list[tuple]):
+            keys, contexts, offsets = [r[0] for r in rows], [r[5] for r in rows], [r[4] for r in rows]
+            if listed:
+                out = []
+                for x, y, own in maximal(keys, contexts, offsets, min_bytes):
+                    digest = hashlib.blake2b(contexts[own[0]][offsets[own[0]] - x : offsets[own[0]] + y], digest_size=16).digest()
+                    out += [(*rows[m][1:3], rows[m][3] + rows[m][4] - x, rows[m][3] + rows[m][4] + y, digest) for m in own]
+                    if len(out) > CHUNK:
+                        yield batch(out)
+                        out = []
+                yield batch(out)
+                return
+            left, right = extents(keys, contexts, offsets, min_bytes)
             of: dict[tuple, list] = {}
             for r, x, y in zip(rows, left.tolist(), right.tolist()):
                 if x + y:
                     of.setdefault(r[1:3], []).append((r[3] + r[4] - x, r[3] + r[4] + y))
             for r in known:
                 of.setdefault(r[1:3], []).append((r[3], r[3] + r[4]))
-            out = [(*name, *run) for name, spans in of.items() for run in merged(sorted(spans))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 4], schema=schema)
+            yield batch([(*name, *run, None) for name, spans in of.items() for run in merged(sorted(spans))])
 
         rows: list[tuple] = []
         known: list[tuple] = []
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in (key, "doc_id", "th", "start", "offset", "context"))):
                 if len(rows) >= CHUNK and r[0] != rows[-1][0]:
-                    yield done(rows, known)
+                    yield from done(rows, known)
                     rows, known = [], []
                 (rows if r[5] is not None else known).append(r)
         if rows or known:
-            yield done(rows, known)
+            yield from done(rows, known)
 
-    return arrow_step(members, scan, "doc_id long, th long, start long, end long")
+    return arrow_step(members, scan, SPANS)
 
 
 def halves(row: tuple, whole: bool, min_bytes: int) -> list[tuple]:
@@ -305,8 +368,8 @@ def halves(row: tuple, whole: bool, min_bytes: int) -> list[tuple]:
     return out
 
 
-def _split(members: DataFrame, min_bytes: int) -> list[DataFrame]:
-    """The repeats (doc_id, th, start, end) of MEMBERS whose seeds are hot."""
+def _split(members: DataFrame, min_bytes: int, listed: bool = False) -> list[DataFrame]:
+    """SPANS of MEMBERS whose seeds are hot. Where they are listed, all members go on to the single strings, so that every group has all its places."""
 
     def split(whole: bool):
         def run(batches):
@@ -323,7 +386,8 @@ def _split(members: DataFrame, min_bytes: int) -> list[DataFrame]:
 
         return run
 
-    got = [written(members.filter("context IS NULL").select("doc_id", "th", "start", (F.col("start") + F.col("offset")).alias("end")), "repeat-spans")]
+    span = lambda df, n, repeat: df.select("doc_id", "th", "start", (F.col("start") + n).alias("end"), repeat.cast("binary").alias("repeat"))
+    got = [written(span(members.filter("context IS NULL"), F.col("offset"), F.lit(None)), "repeat-spans")]
     now = members.filter("context IS NOT NULL").withColumns({"a": F.lit(0), "b": F.lit(min_bytes - SEED)})
     parents: list[DataFrame] = []
     while True:
@@ -334,11 +398,11 @@ def _split(members: DataFrame, min_bytes: int) -> list[DataFrame]:
         place = F.struct("doc_id", "th", "start")
         same = written(made.groupBy("same").agg(F.count(F.lit(1)).alias("s"), F.min(place).alias("first")).filter("s > 1").drop("s"), "repeat-same")
         placed = made.join(sizes, "key")
-        got.append(written(_scanned(placed.filter(F.col("n") <= GROUP), "key", min_bytes), "repeat-spans"))
+        got.append(written(_scanned(placed.filter(F.col("n") <= GROUP), "key", min_bytes, listed), "repeat-spans"))
         placed = placed.filter(F.col("n") > GROUP).join(same, "same", "left")
-        left = placed.withColumn("again", F.col("first").isNotNull()).withColumn("on", F.coalesce(F.col("first") == place, F.lit(True)) & (F.col("a") < F.col("b")))
-        left = written(left.drop("key", "same", "n", "first"), "repeat-left")
-        got.append(written(left.filter("again").select("doc_id", "th", "start", (F.col("start") + F.length("context")).alias("end")), "repeat-spans"))
+        left = placed.withColumn("again", F.col("first").isNotNull()).withColumn("on", (F.lit(listed) | F.coalesce(F.col("first") == place, F.lit(True))) & (F.col("a") < F.col("b")))
+        left = written(left.drop("key", "n", "first"), "repeat-left")
+        got.append(written(span(left.filter("again"), F.length("context"), F.unhex(F.md5("context"))), "repeat-spans"))
         discard(made, sizes, same, *parents)
         parents = [left]
         now = left.filter("on")

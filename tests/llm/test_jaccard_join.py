@@ -95,6 +95,17 @@ def test_hot_buckets_and_heads_lose_no_link(spark, documents, monkeypatch):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(documents, 5, 80).collect()} == want
 
 
+def test_documents_of_a_hot_passage_are_indexed_without_it(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 8)
+    passage = prose(1, 60)
+    rows = [(i, f"{prose(10 + i, 60)} {passage}") for i in range(40)]
+    rows += [(100 + i, f"{prose(10 + i, 60)} {passage} more") for i in range(0, 40, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = J.buckets(docs, 5, 80, np.zeros(0, np.uint64))
+    assert len(first) == 2 and first[0].filter("hot").isEmpty() and first[1].filter("hot").isEmpty()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(docs, 5, 80).collect()} == brute(rows, 5, 80)
+
+
 def test_one_document_of_each_group_stays(spark, documents):
     out = J.deduplicated(documents)
     want = brute([(r["doc_id"], r["text"]) for r in documents.collect()], 5, 80)

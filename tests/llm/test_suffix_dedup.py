@@ -122,6 +122,28 @@ def test_common_passages_in_other_surroundings(spark, monkeypatch):
     assert sorted(map(tuple, S.digests(docs).collect())) == want
 
 
+@pytest.mark.parametrize("group", [4096, 4])
+def test_groups_of_repeats_have_all_their_places(spark, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    passage, other = prose(1, 60)[:300], prose(2, 60)[:260]
+    rows = [(i, f"{prose(100 + i, 9)} {passage[: 300 - 7 * (i % 3)]} {prose(500 + i // 2, 9)}") for i in range(9)]
+    rows += [(20, f"{other} x {passage} y {other}"), (21, prose(3, 60)), (22, prose(3, 60)), (23, "short"), (24, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {d: (t or "").encode() for d, t in rows}
+    groups: dict = {}
+    for r in S.repeat_groups(docs).collect():
+        groups.setdefault((r["repeat"], r["n_bytes"]), set()).add((r["doc_id"], r["start"]))
+    covered = {d: [] for d in texts}
+    for (_, n), places in groups.items():
+        own = {texts[d][a : a + n] for d, a in places}
+        assert len(own) == 1 and n >= 200 and len(places) > 1
+        text = own.pop()
+        assert places == {(d, k) for d, t in texts.items() for k in range(len(t) - n + 1) if t[k : k + n] == text}
+        for d, a in places:
+            covered[d].append((a, a + n))
+    assert [S.merged(sorted(covered[d])) for d in texts] == brute(list(texts.values()), 200)
+
+
 def test_rows_without_an_id(spark):
     long = "word " * 100
     docs = spark.createDataFrame([(None, long + "a"), (None, long + "b"), (1, "short")], "doc_id long, text string")
