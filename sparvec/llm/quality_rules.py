@@ -52,9 +52,22 @@ BOILERPLATE = re.compile(
     re.IGNORECASE,
 )
 
+#: Without any of these in its lower case, a text has no phrase of BOILERPLATE, unless it has a letter whose case is irregular.
+CORES = (
+    "rights reserved", "licensed under", "released under", "terms of ", "privacy policy", "cookie", "javascript", "lorem ipsum",
+    "click here", "sign up", "log", "subscribe", "copyright", "(c)", "spdx-license",
+)
+IRREGULAR = re.compile("[ıİſ\u212a]")
 
-def line_fails(line: str) -> str | None:
-    """The name of the first rule that the line breaks, or None. The line has a word."""
+
+def hints(text: str) -> tuple[bool, bool]:
+    """Whether any line of a text can have marks, and whether any can have boilerplate; looked up once for all lines."""
+    low = text.lower()
+    return any(c in text for c in BETWEEN), any(c in low for c in CORES) or bool(IRREGULAR.search(text))
+
+
+def line_fails(line: str, marked: bool = True, phrased: bool = True) -> str | None:
+    """The name of the first rule that the line breaks, or None. The line has a word. marked, phrased: what ``hints`` says of its text."""
     words = line.split()
     n = len(words)
     if not n:
@@ -68,10 +81,10 @@ def line_fails(line: str) -> str | None:
         return "repetition"
     if n < MIN_OPEN_WORDS and line.rstrip()[-1:] not in CLOSING:
         return "punctuation"
-    marks = sum(w in BETWEEN or w[0] in MARKS or w[-1] in MARKS for w in words)
+    marks = sum(w in BETWEEN or w[0] in MARKS or w[-1] in MARKS for w in words) if marked else 0
     if marks >= MIN_MARKS and n - sum(w in BETWEEN for w in words) <= ITEM_WORDS * (marks + 1):
         return "navigation"
-    if PHRASE_WORDS * sum(1 for _ in BOILERPLATE.finditer(line)) > n:
+    if phrased and PHRASE_WORDS * sum(1 for _ in BOILERPLATE.finditer(line)) > n:
         return "boilerplate"
     return None
 
@@ -79,8 +92,9 @@ def line_fails(line: str) -> str | None:
 def cleaned(text: str) -> tuple[str, int, int]:
     """The text without its failing lines, how many lines went, and the word characters lost."""
     kept, gone, lost = [], 0, 0
+    marked, phrased = hints(text)
     for line in text.split("\n"):
-        if line_fails(line) is None:
+        if line_fails(line, marked, phrased) is None:
             kept.append(line)
         else:
             gone += 1
