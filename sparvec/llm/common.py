@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,9 @@ from ..operators.workers import reach
 
 #: Limits of an Arrow batch: texts can be long, so bytes count before rows do.
 BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
+#: The driver's garbage is collected for the sake of shuffle files at most so often.
+COLLECT_SECONDS = 5
+_collected = -1e9
 
 
 def prepare(spark: SparkSession) -> None:
@@ -60,7 +64,9 @@ def discard(*tables: DataFrame) -> None:
         spark, path = t.sparkSession, t._written
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    if tables:
+    global _collected
+    if tables and time.monotonic() - _collected > COLLECT_SECONDS:
+        _collected = time.monotonic()
         tables[0].sparkSession.sparkContext._jvm.System.gc()  # Spark deletes shuffle files when their plans are collected
 
 
