@@ -193,8 +193,10 @@ def in_band(tokens: np.ndarray, band: int, how: Plan) -> tuple[np.ndarray, np.nd
 
 
 class Index:
-    def __init__(self, percent: int) -> None:
-        self.percent = percent
+    """deleting: index one-deletion neighbourhoods in all bands, whose few large segments stay telling where many shingles are left out."""
+
+    def __init__(self, percent: int, deleting: bool = False) -> None:
+        self.percent, self.deleting = percent, deleting
         self.plans: dict[int, list[tuple[int, Plan]]] = {}
 
     def of(self, size: int) -> list[tuple[int, Plan]]:
@@ -204,17 +206,20 @@ class Index:
             number, top = bands(size, self.percent)
             got = []
             if most_differing(top, self.percent):
-                got.append((number, plan(top, self.percent)))
+                got.append((number, self.plan(top)))
             if number:
                 t, k = 1, 0
                 while k < number - 1:
                     t, k = max(t + 1, t * 100 // self.percent), k + 1
                 if most_differing(t, self.percent):
-                    got.append((number - 1, plan(t, self.percent)))
+                    got.append((number - 1, self.plan(t)))
             if len(self.plans) < 100_000:
                 self.plans[size] = got
         return got
 
+    def plan(self, top: int) -> Plan:
+        return Plan(most_differing(top, self.percent) // 2 + 1, 0, 0, True) if self.deleting else plan(top, self.percent)
+
     def signatures(self, tokens: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         """Signatures of a set; common: shingles that are left out of the universe."""
         if not len(plans := self.of(len(tokens))):
@@ -365,11 +370,11 @@ def common_shingles(found: DataFrame) -> np.ndarray:
 def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> list[DataFrame]:
     """Written tables of (bucket, doc_id, hot): the documents that share a signature with others.
 
-    Documents of hot buckets are indexed again without the shingles behind the hot signatures, as any shingles may be left out; only what is hot without them, too,
-    stays hot. All shingles that are left out are bounded by MOST_LEFT_OUT, else the hot buckets stay.
+    Documents of hot buckets are indexed again without the shingles behind the hot signatures, as any shingles may be left out, and by deletions; only what is hot
+    without them, too, stays hot. All shingles that are left out are bounded by MOST_LEFT_OUT, else the hot buckets stay.
     """
     found = [written(_signed(docs, width, percent, common), "join-buckets")]
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         hot = found[-1].filter("hot")
         sigs = hot.select("bucket").distinct().limit(MOST_LEFT_OUT + 1)
         if hot.isEmpty() or sigs.count() > MOST_LEFT_OUT:
@@ -377,8 +382,8 @@ def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> li
         known = np.sort(np.array([r["bucket"] for r in sigs.collect()], np.int64).astype(np.uint64))
         texts = docs.join(hot.select("doc_id").distinct(), "doc_id", "left_semi")
 
-        def behind(batches, common=common, known=known):
-            shingler, index = Shingler(width), Index(percent)
+        def behind(batches, common=common, known=known, deleting=level > 0):
+            shingler, index = Shingler(width), Index(percent, deleting)
             for b in batches:
                 out = [index.behind(s, common, known) for t in texts_of(b) if len(s := shingler.shingles(t))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).astype(np.int64) if out else [], pa.int64())], ["x"])
@@ -387,18 +392,18 @@ def buckets(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> li
         if not 0 < len(left_out) <= MOST_LEFT_OUT - len(common):
             break
         common = np.union1d(common, np.array([r["x"] for r in left_out], np.int64).astype(np.uint64))
-        again = written(_signed(texts, width, percent, common), "join-buckets")
+        again = written(_signed(texts, width, percent, common, True), "join-buckets")
         cooler = written(found[-1].filter("NOT hot"), "join-buckets")
         discard(found.pop())
         found += [cooler, again]
     return found
 
 
-def _signed(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
+def _signed(docs: DataFrame, width: int, percent: int, common: np.ndarray, deleting: bool = False) -> DataFrame:
     """(bucket, doc_id, hot). Signatures that the same documents share are one bucket; one of more than HOT documents goes by its signature."""
 
     def index(batches):
-        shingler, index, met = Shingler(width), Index(percent), set()
+        shingler, index, met = Shingler(width), Index(percent, deleting), set()
         for b in batches:
             sigs, ids = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
