@@ -519,7 +519,7 @@ def legacy_v1_read(s: SparkSession, d: str) -> DataFrame:
         return pa.table({"shard": pa.array([b.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([data], pa.binary())})
 
     made = slots(s, d, c).select(F.floor(F.col("slot") / fmt.SHARD_ROWS).alias("shard"), "slot", "codes", "scale").groupBy("shard").applyInArrow(write, "shard long, blob binary")
-    return fmt.from_blobs(made).select("slot", joined("codes"), double("scale"))
+    return fmt.table_slots(made).select("slot", joined("codes"), double("scale"))
 
 
 add(

@@ -82,6 +82,8 @@ def test_blobs_of_shards(spark, c):
     got = fmt.from_blobs(blobs).orderBy("shard", "slot").collect()
     assert [sum(r["shard"] == k for r in got) for k in range(3)] == [19, 20, 10]
     assert [int(r["key"]) for r in got if r["shard"] == 1] == [i * 3 for i in range(20, 40)]
+    whole = fmt.table_slots(blobs).orderBy("slot").collect()
+    assert [r["slot"] for r in whole] == list(range(49)) and [r[:1] + r[2:] for r in whole] == [r[:1] + r[2:] for r in got]
     again = fmt.upsert_blobs(blobs, blobs.filter("shard = 1"))
     assert again.count() == 3
 

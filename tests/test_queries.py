@@ -28,6 +28,16 @@ def test_query_equals_its_sql(spark, small, duck, name):
         assert sorted(map(repr, other.select(*columns).fetchall())) == mine
 
 
+@pytest.mark.parametrize("name", ["legacy_v1_read"])
+def test_slots_go_on_over_all_shards(spark, small, tmp_path, name):
+    duckdb.sql(f"COPY (SELECT * REPLACE (vec_id * 1000 AS vec_id) FROM '{small}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")  # five shards
+    got = plans.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    other = con.sql(plans.SQL[name])
+    assert sorted(map(repr, other.select(*got.columns).fetchall())) == sorted(map(repr, (tuple(r) for r in got.collect())))
+
+
 def test_entry_imports_and_names_match(spark):
     import __spark_entry__ as entry
 
