@@ -480,7 +480,7 @@ for name, config in (("parse_bytes", BITS[5]), ("parse_bytes_residual", RESIDUAL
     more = ", CAST({0} AS DOUBLE) AS scale2".format(S.half("scale2")) if config.residual else ""
     add(
         name,
-        lambda s, d, c=config: fmt.from_blobs(blobs(s, d, c)).select("slot", F.col("key").cast("long").alias("key"), joined("codes"), double("scale"), *([double("scale2")] if c.residual else [])),
+        lambda s, d, c=config: fmt.table_slots(blobs(s, d, c)).select("slot", F.col("key").cast("long").alias("key"), joined("codes"), double("scale"), *([double("scale2")] if c.residual else [])),
         f"WITH {S.encoded(config)} SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, vec_id AS key, list_aggregate(list_transform(codes, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS codes,"
         f" CAST({S.half('scale')} AS DOUBLE) AS scale{more} FROM enc",
     )
