@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, small, duck, name):
         assert sorted(map(repr, other.select(*columns).fetchall())) == mine
 
 
-@pytest.mark.parametrize("name", ["legacy_v1_read", "parse_bytes"])
+@pytest.mark.parametrize("name", ["legacy_v1_read", "parse_bytes", "parse_bytes_residual"])
 def test_slots_go_on_over_all_shards(spark, small, tmp_path, name):
     duckdb.sql(f"COPY (SELECT * REPLACE (vec_id * 1000 AS vec_id) FROM '{small}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")  # five shards
     got = plans.QUERIES[name](spark, str(tmp_path))
