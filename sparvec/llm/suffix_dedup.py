@@ -246,34 +246,38 @@ def _found(texts: DataFrame, spare: DataFrame | None, min_bytes: int, listed: bo
     # written, so that the join below is one that Spark can split where a seed is hot
     seeds = written(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeat-seeds")
     hot = not seeds.filter(F.col("n") > GROUP).isEmpty()
-    got = [written(_scanned(_dealt(texts, marks, seeds.filter(F.col("n") <= GROUP) if hot else seeds, spare, min_bytes, listed), "h", min_bytes, listed), "repeat-spans")]
-    if hot:
-        members = written(_dealt(texts, marks, seeds.filter(F.col("n") > GROUP), spare, min_bytes, listed), "repeat-hot")
-        got += _split(members, min_bytes, listed)
-        discard(members)
+    members = _dealt(texts, marks, seeds, spare, min_bytes, listed)
+    if not hot:
+        got = [written(_scanned(members, "h", min_bytes, listed), "repeat-spans")]
+        discard(marks, seeds)
+        return got
+    # written, so that marks and texts are brought together once for both kinds
+    members = written(members, "repeat-members")
     discard(marks, seeds)
+    got = [written(_scanned(members.filter("NOT hot"), "h", min_bytes, listed), "repeat-spans"), *_split(members.filter("hot"), min_bytes, listed)]
+    discard(members)
     return got
 
 
-MEMBERS = "h long, doc_id long, th long, start long, offset int, context binary"
+MEMBERS = "h long, doc_id long, th long, start long, offset int, context binary, hot boolean"
 
 
 def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFrame | None, min_bytes: int, listed: bool = False) -> DataFrame:
-    """MEMBERS: each anchor of the seeds given, with the text around it and where in that it is.
+    """MEMBERS: each anchor of the seeds given, with the text around it, where in that it is, and whether its seed has more than GROUP anchors.
 
     Without a context, a row is a span of a text from start, offset bytes long, that is known to be repeated in that text.
     """
-    found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at")).alias("marks"))
+    found = marks.join(seeds, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "at", (F.col("n") > GROUP).alias("hot"))).alias("marks"))
     found = found if spare is None else found.join(spare, ["doc_id", "th"], "left_anti")
 
     def cut(batches):
-        schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary())])
+        schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("offset", pa.int32()), ("context", pa.binary()), ("hot", pa.bool_())])
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
                 data, i, th = (row.column(c)[0].as_py() for c in ("data", "doc_id", "th"))
                 m = row.column("marks").flatten()
-                h, at = (m.field(j).to_numpy() for j in range(2))
+                h, at, hot = (m.field(j).to_numpy(zero_copy_only=False) for j in range(3))
                 place = at >> 24
                 first, end = place - ((at >> 12) & 4095), place - (at & 4095) + min_bytes
                 contexts = [data[x:y] for x, y in zip(first.tolist(), end.tolist())]
@@ -289,7 +293,7 @@ def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFram
                     if again:
                         known = merged(sorted((int(first[j]), int(end[j])) for j in again))
                         keep = sorted(met.values())
-                        h, first, offset, contexts = h[keep], first[keep], offset[keep], [contexts[j] for j in keep]
+                        h, first, offset, hot, contexts = h[keep], first[keep], offset[keep], hot[keep], [contexts[j] for j in keep]
                 n, size = len(known), len(h) + len(known)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -299,6 +303,7 @@ def _dealt(texts: DataFrame, marks: DataFrame, seeds: DataFrame, spare: DataFram
                         pa.array(np.concatenate([first, [x for x, _ in known]]).astype(np.int64)),
                         pa.array(np.concatenate([offset, [y - x for x, y in known]]).astype(np.int32)),
                         pa.array(contexts + [None] * n, pa.binary()),
+                        pa.array(np.concatenate([hot, np.zeros(n, bool)])),
                     ],
                     schema=schema,
                 )
@@ -387,8 +392,8 @@ def _split(members: DataFrame, min_bytes: int, listed: bool = False) -> list[Dat
         return run
 
     span = lambda df, n, repeat: df.select("doc_id", "th", "start", (F.col("start") + n).alias("end"), repeat.cast("binary").alias("repeat"))
-    got = [written(span(members.filter("context IS NULL"), F.col("offset"), F.lit(None)), "repeat-spans")]
-    now = members.filter("context IS NOT NULL").withColumns({"a": F.lit(0), "b": F.lit(min_bytes - SEED)})
+    got: list[DataFrame] = []
+    now = members.withColumns({"a": F.lit(0), "b": F.lit(min_bytes - SEED)})
     parents: list[DataFrame] = []
     while True:
         kind = "key binary, same binary, h long, a int, b int, doc_id long, th long, start long, offset int, context binary"
@@ -430,30 +435,39 @@ def kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[upto:]])
 
 
+def _runs(spans: pa.Array, k: int) -> list[tuple[int, int]]:
+    """The merged spans in place k."""
+    s = spans.slice(k, 1).flatten()
+    return merged(list(zip(s.field(0).to_pylist(), s.field(1).to_pylist())))
+
+
 def _each(batches):
     """(row of the batch, its data, its merged spans)."""
     for b in batches:
         for k in range(b.num_rows):
-            s = b.column("spans").slice(k, 1).flatten()
-            yield b, k, b.column("data")[k].as_py(), merged(list(zip(s.field(0).to_pylist(), s.field(1).to_pylist())))
+            yield b, k, b.column("data")[k].as_py(), _runs(b.column("spans"), k)
 
 
 def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """All rows and columns of docs, the repeated bytes taken out of the text; characters of which a part went go as well."""
     rows, spans = repeated_spans(docs, min_bytes)
 
-    def strip(batches):
-        for b, k, data, runs in _each(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), b.column("th").slice(k, 1), pa.array([kept(data, runs).decode("utf-8", "ignore")], pa.string())], ["doc_id", "th", "cut"])
-
-    cut = arrow_step(spans.join(_texts(docs), ["doc_id", "th"]).select("doc_id", "th", "spans", "data"), strip, "doc_id long, th long, cut string").dropDuplicates(["doc_id", "th"])
-    whole = rows.filter("whole").select("doc_id", "th", F.lit("").alias("cut")).distinct()
-    columns = unused(docs, "id", "hash", "cut")
-    changed = cut.unionByName(whole).toDF(*columns)
-    i, h, c = map(F.col, columns)
+    @F.arrow_udf("string")
+    def strip(data: pa.Array, spans: pa.Array) -> pa.Array:
+        out: list = [None] * len(data)
+        for k in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            out[k] = kept(data[k].as_py(), _runs(spans, k)).decode("utf-8", "ignore")
+        return pa.array(out, pa.string())
+
+    whole = rows.filter("whole").select("doc_id", "th", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).distinct()
+    columns = unused(docs, "id", "hash", "spans")
+    changed = spans.unionByName(whole).toDF(*columns)
+    i, h, s = map(F.col, columns)
     same = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == i) & (F.xxhash64(F.coalesce(docs["text"], F.lit("")).cast("binary")) == h)
+    # texts meet their spans in the join that brings all rows back; only texts with spans go through Python
     joined = docs.join(changed, same, "left")
-    return joined.withColumn("text", F.coalesce(c, "text")).select(*docs.columns)
+    cut = strip(F.when(s.isNotNull(), F.col("text").cast("binary")), s)
+    return joined.withColumn("text", F.when(i.isNull(), F.col("text")).when(s.isNull(), F.lit("")).otherwise(cut)).select(*docs.columns)
 
 
 def digests(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -78,6 +78,24 @@ def test_texts_without_repeats(spark, documents):
         S.repeated_spans(documents, 20)
 
 
+@pytest.mark.parametrize("group", [4096, 3])
+def test_texts_are_brought_together_once_for_marks_and_once_for_spans(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(S, "GROUP", group)
+    dealt, real = [], S._dealt
+    monkeypatch.setattr(S, "_dealt", lambda *a: dealt.append(a) or real(*a))
+    passage = "ä€" * 50  # 250 bytes; a start amid a character takes the character away
+    rows = [(i, f"{prose(100 + i, 20)} {passage[i % 2 :]} {prose(500 + i // 3, 60)}") for i in range(12)]
+    rows += [(20, rows[0][1]), (20, rows[0][1]), (None, rows[1][1] + "a"), (22, None), (23, "short"), (24, passage + "\xe4x")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/some_docs")
+    docs = spark.read.parquet(f"{tmp_path}/some_docs")
+    out = S.without_repeats(docs)
+    assert len(dealt) == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("text:string") == 1
+    texts = [(x or "").encode() for _, x in rows]
+    want = [(d, None if x is None else S.kept(t, w).decode("utf-8", "ignore")) for (d, x), t, w in zip(rows, texts, brute(texts, 200))]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want)) and any(x == "" for _, x in want)
+
+
 def test_halves_keep_equal_strings_together():
     rng = np.random.default_rng(3)
     m = 80
